@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, packing
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
