@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, media, packing
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op4_media": media.op4_media,
     "op8_packing": packing.op8_packing,
 }
 
