@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, media, packing
+from . import bpe, fingerprint, media, packing
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_media": media.op4_media,
     "op8_packing": packing.op8_packing,
+    "op9_fingerprint": fingerprint.op9_fingerprint,
 }
 
 ORACLE_SQL: dict[str, str] = {}
