@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-END, POOL, KEPT = 2, 512, 300_000
+END, POOL, KEPT = 2, 512, 800_000
 #: Python's split() takes U+001C to U+001F as white space, the vocabulary's pattern doesn't; special tokens may hold anything.
 BY_LIBRARY = re.compile("[\x01\x1c-\x1f]|<\\|")
 #: New words go through the library together; this character, a token of its own, stands between them.
 SEPARATOR = " \x01 "
 #: Up to here lower-casing works letter by letter and nothing is composed.
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-CLOSING = re.compile(r"(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,;:!?])(?=\s|\Z)")
+CLOSING = re.compile(r"[.,;:!?](?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff].)(?=\s|\Z)")
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ class WordIds:
         """Pieces whose ids don't depend on their neighbours. Lower case and a space before closing punctuation change no id."""
         if not BEYOND_LATIN.search(text):
             text = text.lower()
-        return CLOSING.sub(r" \1", text).split()
+        return CLOSING.sub(r" \g<0>", text).split()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.kept) > KEPT:
