@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, media, packing
+from . import bpe, fingerprint, media, packing, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_media": media.op4_media,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_fingerprint": fingerprint.op9_fingerprint,
 }
