@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, media, packing, toxicity
+from . import bpe, fingerprint, langid, media, packing, quality, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_media": media.op4_media,
+    "op5_quality": quality.op5_quality,
+    "op6_langid": langid.op6_langid,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_fingerprint": fingerprint.op9_fingerprint,
