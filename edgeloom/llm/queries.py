@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, media, packing, quality, toxicity
+from . import bpe, fingerprint, langid, media, neardup, packing, quality, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_fingerprint": fingerprint.op9_fingerprint,
+    "op10_neardup": neardup.op10_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
