@@ -91,3 +91,23 @@ def pack_text(b: pa.Array) -> pa.Array:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n (JVM side)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """Runs of equal values in the first `keys` columns, each as lists of its columns."""
+    held: list[list] | None = None
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        heads = list(zip(*columns[:keys], strict=True))
+        cut = [0, *(i for i in range(1, len(heads)) if heads[i] != heads[i - 1]), len(heads)]
+        for i, j in zip(cut, cut[1:], strict=False):
+            part = [c[i:j] for c in columns]
+            if held is not None and all(h[0] == p[0] for h, p in zip(held[:keys], part[:keys], strict=True)):
+                for h, p in zip(held, part, strict=True):
+                    h.extend(p)
+            else:
+                if held is not None:
+                    yield held
+                held = part
+    if held is not None:
+        yield held

@@ -92,26 +92,6 @@ def least_equal(percent: int) -> float:
     return MINIMA * p - SIGMAS * np.sqrt(MINIMA * p * (1 - p))
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
-    """Runs of equal values in the first `keys` columns, each as lists of its columns."""
-    held: list[list] | None = None
-    for b in batches:
-        columns = [c.to_pylist() for c in b.columns]
-        heads = list(zip(*columns[:keys], strict=True))
-        cut = [0, *(i for i in range(1, len(heads)) if heads[i] != heads[i - 1]), len(heads)]
-        for i, j in zip(cut, cut[1:], strict=False):
-            part = [c[i:j] for c in columns]
-            if held is not None and all(h[0] == p[0] for h, p in zip(held[:keys], part[:keys], strict=True)):
-                for h, p in zip(held, part, strict=True):
-                    h.extend(p)
-            else:
-                if held is not None:
-                    yield held
-                held = part
-    if held is not None:
-        yield held
-
-
 def candidate_pairs(sig: np.ndarray, n: np.ndarray, block: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a group that may be links and share no earlier band, and their equal bytes. Pairs within a block count only if all rows are of one block."""
     packed, bands, least, across = sig.view(np.uint64), sig.reshape(len(sig), BANDS, ROWS), least_equal(percent), block[0] != block[-1] or len(set(block.tolist())) > 1
@@ -134,23 +114,6 @@ def candidate_pairs(sig: np.ndarray, n: np.ndarray, block: np.ndarray, band: int
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def forest(links: Iterator[tuple[int, int]], size: int) -> list[tuple[int, int]]:
-    """(smallest member, member) of each component with two members or more."""
-    up = list(range(size))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in links:
-        a, b = root(a), root(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return [(root(i), i) for i in range(size) if root(i) != i]
-
-
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n, key, sig) of each row; key and sig are null for empty sets."""
 
@@ -193,7 +156,7 @@ def possible(rows: DataFrame, percent: int) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "i", "j", "at", "node", "partners"])
 
-        for bucket, i, j, band, block, n, node, sig in groups(batches, 3):
+        for bucket, i, j, band, block, n, node, sig in common.groups(batches, 3):
             if len(node) < 2:
                 continue
             packed = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), MINIMA)
@@ -223,7 +186,7 @@ def confirmed(members: DataFrame, percent: int) -> DataFrame:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out = [], []
-        for _, _, _, at, node, partners, z in groups(batches, 3):
+        for _, _, _, at, node, partners, z in common.groups(batches, 3):
             sets: dict[int, np.ndarray] = {}
 
             def of(k: int, sets: dict = sets, z: list = z) -> np.ndarray:

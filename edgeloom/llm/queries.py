@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, media, neardup, packing, quality, toxicity
+from . import bpe, fingerprint, langid, media, neardup, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_warc": warc.op2_warc,
     "op4_media": media.op4_media,
     "op5_quality": quality.op5_quality,
     "op6_langid": langid.op6_langid,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_neardup": neardup.op10_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_warc": warc.ORACLE}
