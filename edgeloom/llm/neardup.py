@@ -114,17 +114,22 @@ def candidate_pairs(sig: np.ndarray, n: np.ndarray, block: np.ndarray, band: int
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def digest() -> Column:
+    """Tells apart the texts of rows that repeat an id."""
+    return F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, sig) of each row; key and sig are null for empty sets."""
+    """(doc_id, n, key, sig, digest) of each row; key and sig are null for empty sets."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x) for x in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-            names=["doc_id", "n", "key", "sig"],
+            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), b.column(2)],
+            names=["doc_id", "n", "key", "sig", "digest"],
         )
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text")), f, "doc_id long, n long, key binary, sig binary")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text"), digest().alias("digest")), f, "doc_id long, n long, key binary, sig binary, digest long")
 
 
 def node_of(rep: Column, key: Column) -> Column:
@@ -257,7 +262,7 @@ def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row, linking documents with 100 * intersection >= percent * union."""
+    """(doc_id, n_shingles, component_id, kept, digest) of each row, linking documents with 100 * intersection >= percent * union."""
     scratch = common.Scratch(docs.sparkSession, "neardup")
     rows = scratch.keep(signed(docs), "rows")
     reps = rows.filter("n > 0").groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -281,11 +286,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of_rep = classes.select("node", F.col("rep").alias("root_rep"))
     joined = roots.join(of_rep.withColumnRenamed("node", "root"), "root").select("node", "root_rep")
     final = scratch.keep(classes.select("key", "node", "rep").join(joined, "node", "left").select("key", F.coalesce("root_rep", "rep").alias("component_id")), "components")
-    filled = rows.filter("n > 0").select("doc_id", "n", "key").join(final, "key").select("doc_id", "n", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
-    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    filled = rows.filter("n > 0").select("doc_id", "n", "key", "digest").join(final, "key").select("doc_id", "n", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"), "digest")
+    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "digest")
     out = filled.unionByName(empty)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest")
+
+
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay: of each component the document with the smallest doc_id, with all its columns.
+
+    Rows that repeat both id and text are one document. Documents without words all stay. Of rows without an id only
+    those go that repeat a text or are linked to a document with an id.
+    """
+    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("doc_id").cast("long").alias("own_id"), digest().alias("own_digest"))
+    stay = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")), "left_semi")
+    return stay.dropDuplicates(["own_id", "own_digest"]).drop("own_id", "own_digest").toDF(*docs.columns)
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("digest")

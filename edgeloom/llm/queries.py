@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, media, neardup, packing, quality, toxicity, warc
+from . import bpe, fingerprint, langid, media, neardup, packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_warc": warc.op2_warc,
+    "op3_pii": pii.op3_pii,
     "op4_media": media.op4_media,
     "op5_quality": quality.op5_quality,
     "op6_langid": langid.op6_langid,
