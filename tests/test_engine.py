@@ -265,4 +265,4 @@ def test_random_conditions(spark, sf_dir):
 
     for _ in range(12):
         ours, theirs = condition(3)
-        assert session.sql(f"select count(*) as n from acts where {ours}").first()[0] == con.sql(f"SELECT count(*) FROM events WHERE {theirs}").fetchone()[0], ours
+        assert session.sql(f"select count(*) as n from acts where {ours}").first()[0] == con.sql(f"SELECT count(*) FROM events WHERE {theirs}").fetchall()[0][0], ours
