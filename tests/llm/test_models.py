@@ -46,7 +46,11 @@ def test_toxicity_shares_vectors_with_misspellings():
         marks.append(int(i % 3 == 0))
     model = toxicity.fit(texts, marks)
     table = wordbags.WordTable(model.values)
-    score = lambda t: model.score(model.log_odds(table.values[table.rows([toxicity.split(t)])[0]]))
+
+    def score(t):
+        (rows,) = table.rows([toxicity.split(t)])
+        return model.score(model.log_odds(table.values[rows]))
+
     clean = " ".join(rng.choice(words, 200))
     assert score(clean) < 0.5 < min(score(f"{clean} zorgblatt {clean}"), score(f"{clean} zorgblattt {clean}"))
 
@@ -111,7 +115,8 @@ def test_langid_weights_are_sparse():
     m = langid.fit(texts, ["de"] * 40 + ["en"] * 40, np.zeros(1 << langid.BITS, np.int64), 80)
     assert (m.weight != 0).mean() < 0.01
     table = wordbags.WordTable(m.values)
-    assert m.predict(table.values[table.rows([["und", "das"]])[0]])[0] == "de"
+    (rows,) = table.rows([["und", "das"]])
+    assert m.predict(table.values[rows])[0] == "de"
 
 
 @pytest.mark.parametrize("rows", [1, 50])
