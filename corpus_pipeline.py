@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm import common, neardup, packing, pii, quality, toxicity
 
+#: Percent of similarity from which the corpus keeps one document only; op10's contract has its own.
+NEAR = 80
+
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below 0.5."""
@@ -27,8 +30,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.deduplicate(docs)
+    """One document of each group of near-duplicates (word shingles with a similarity of 0.8 or more)."""
+    return neardup.deduplicate(docs, NEAR)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

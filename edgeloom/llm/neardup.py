@@ -1,9 +1,9 @@
 """Near-duplicates by b-bit MinHash, confirmed on full shingle sets.
 
 1. Each document's set of distinct 5-word shingles (64-bit hashes) gets a 128-bit key and a packed signature: the low 8
-   bits of 192 minima. Documents with equal sets form a class; from here on a class is one node, however many copies it has.
-2. Candidates: 32 bands of 6 minima (6 bytes of the packed signature). A pair with similarity 0.85 shares no band with
-   probability 3e-7. Buckets are split into blocks of bounded size, and every pair of blocks is one group, so no task
+   bits of 192 minima (as many as the bands take). Documents with equal sets form a class; from here on a class is one node, however many copies it has.
+2. Candidates: at 0.85 32 bands of 6 minima (6 bytes of the packed signature), at 0.80 40 bands of 5. A pair right at the
+   limit shares no band with probability 3e-7 at most. Buckets are split into blocks of bounded size, and every pair of blocks is one group, so no task
    ever holds a whole hot bucket. In a group, similarities are estimated from bit counts of the packed signatures and
    corrected for chance collisions; a pair goes on if the estimate may belong to a link (5 standard deviations below),
    and only in the first band it shares.
@@ -18,8 +18,11 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +33,43 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, PERCENT = 5, 85
-BANDS, ROWS, BITS = 32, 6, 8
-MINIMA = BANDS * ROWS
+BITS = 8
+#: Chance that a pair at the limit shares no band; the most minima of a signature (counts of equal ones have 8 bits).
+MISS, MOST = 3e-7, 248
 #: A block's weight: rows, long documents counting for more; two blocks make a group.
 BLOCK, WEIGH = 128, 1000
 SIGMAS, SEED = 5.0, 99
 NO_ID = -(2**63)
 
 _rng = np.random.Generator(np.random.PCG64(SEED))
-MULTIPLY = (_rng.integers(0, 2**32, (MINIMA, 1), np.uint64) | np.uint64(1)).astype(np.uint32)
-FLIP = _rng.integers(0, 2**32, (MINIMA, 1), np.uint64).astype(np.uint32)
+MULTIPLY = (_rng.integers(0, 2**32, (MOST, 1), np.uint64) | np.uint64(1)).astype(np.uint32)
+FLIP = _rng.integers(0, 2**32, (MOST, 1), np.uint64).astype(np.uint32)
 ORDER = _rng.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+class Bands(NamedTuple):
+    count: int
+    rows: int
+
+    @property
+    def minima(self) -> int:
+        return self.count * self.rows
+
+
+@lru_cache(maxsize=128)
+def banding(percent: int) -> Bands:
+    """As many minima a band as MISS leaves with 200 minima in all (else with MOST); minima fill whole 64-bit words."""
+    s = min(percent, 85) / 100
+    for most in (200, MOST):
+        for rows in range(6, 0, -1):
+            count = math.ceil(math.log(MISS) / math.log1p(-(s**rows)))
+            while count * rows % 8:
+                count += 1
+            if count * rows <= most:
+                return Bands(count, rows)
+    raise ValueError(f"similarities of {percent} % are too low to find")
+
+
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; with fewer words the whole sequence is one."""
     split = text.lower().split()  # of bytes: A-Z, and the white space of the contract
@@ -57,12 +84,12 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(found: np.ndarray) -> bytes:
+def signature(found: np.ndarray, minima: int) -> bytes:
     """The low bits of each minimum, one byte each."""
-    best = np.full(MINIMA, 2**32 - 1, np.uint32)
+    best = np.full(minima, 2**32 - 1, np.uint32)
     short = (found >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(short), 2048):
-        np.minimum(best, ((short[i : i + 2048] ^ FLIP) * MULTIPLY).min(axis=1), out=best)
+        np.minimum(best, ((short[i : i + 2048] ^ FLIP[:minima]) * MULTIPLY[:minima]).min(axis=1), out=best)
     return ((best * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
@@ -71,30 +98,30 @@ def key_of(found: np.ndarray) -> bytes:
 
 
 def equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bytes agree, by bit counts; a, b: (..., MINIMA / 8) unsigned 64-bit words."""
+    """How many bytes agree, by bit counts; a, b: (..., minima / 8) unsigned 64-bit words."""
     x = a ^ b
     x |= x >> np.uint64(4)
     x |= x >> np.uint64(2)
     x |= x >> np.uint64(1)
     x &= np.uint64(0x0101010101010101)
-    return MINIMA - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+    return 8 * x.shape[-1] - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
-def similarity(equal: np.ndarray) -> np.ndarray:
+def similarity(equal: np.ndarray, minima: int) -> np.ndarray:
     """Corrected for minima that differ but share their low bits."""
     chance = 2.0**-BITS
-    return (equal / MINIMA - chance) / (1 - chance)
+    return (equal / minima - chance) / (1 - chance)
 
 
 def least_equal(percent: int) -> float:
     """Pairs with fewer equal bytes can't be links (to SIGMAS standard deviations)."""
-    p = percent / 100 + (1 - percent / 100) * 2.0**-BITS
-    return MINIMA * p - SIGMAS * np.sqrt(MINIMA * p * (1 - p))
+    p, minima = percent / 100 + (1 - percent / 100) * 2.0**-BITS, banding(percent).minima
+    return minima * p - SIGMAS * np.sqrt(minima * p * (1 - p))
 
 
 def candidate_pairs(sig: np.ndarray, n: np.ndarray, block: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a group that may be links and share no earlier band, and their equal bytes. Pairs within a block count only if all rows are of one block."""
-    packed, bands, least, across = sig.view(np.uint64), sig.reshape(len(sig), BANDS, ROWS), least_equal(percent), block[0] != block[-1] or len(set(block.tolist())) > 1
+    packed, bands, least, across = sig.view(np.uint64), sig.reshape(len(sig), *banding(percent)), least_equal(percent), block[0] != block[-1] or len(set(block.tolist())) > 1
     found: list[tuple] = []
     step = max(1, 65536 // len(sig))
     for i in range(0, len(sig), step):
@@ -119,13 +146,14 @@ def digest() -> Column:
     return F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, key, sig, digest) of each row; key and sig are null for empty sets."""
+    minima = banding(percent).minima
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x) for x in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), b.column(2)],
+            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s, minima) if len(s) else None for s in sets], pa.binary()), b.column(2)],
             names=["doc_id", "n", "key", "sig", "digest"],
         )
 
@@ -137,10 +165,11 @@ def node_of(rep: Column, key: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(rep.bitwiseXOR(F.lit(NO_ID))), 16, "0")), key)
 
 
-def grouped(classes: DataFrame) -> DataFrame:
+def grouped(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (bucket, i, j, band, block, n, node, sig): each bucket's pairs of blocks, with the members of both."""
-    spread = classes.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig")
-    spread = spread.select("node", "n", "band", F.xxhash64("band", F.substring("sig", F.col("band") * ROWS + 1, F.lit(ROWS))).alias("bucket"))
+    count, width = banding(percent)
+    spread = classes.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("band"), "sig")
+    spread = spread.select("node", "n", "band", F.xxhash64("band", F.substring("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"))
     weight = F.greatest(F.lit(1.0), F.col("n") / WEIGH)
     several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(weight).alias("weight")).filter("members > 1")
     several = several.select("bucket", F.least(F.ceil(F.col("weight") / BLOCK), F.col("members")).cast("int").alias("blocks"))
@@ -164,7 +193,7 @@ def possible(rows: DataFrame, percent: int) -> DataFrame:
         for bucket, i, j, band, block, n, node, sig in common.groups(batches, 3):
             if len(node) < 2:
                 continue
-            packed = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), MINIMA)
+            packed = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
             block = np.array(block)
             if i[0] != j[0] and len(set(block.tolist())) < 2:
                 continue  # the other block is empty
@@ -264,10 +293,10 @@ def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, digest) of each row, linking documents with 100 * intersection >= percent * union."""
     scratch = common.Scratch(docs.sparkSession, "neardup")
-    rows = scratch.keep(signed(docs), "rows")
+    rows = scratch.keep(signed(docs, percent), "rows")
     reps = rows.filter("n > 0").groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.keep(reps.select("key", "rep", node_of(F.col("rep"), F.col("key")).alias("node"), "n", "sig"), "classes")
-    pairs = scratch.keep(possible(grouped(classes), percent), "possible")
+    pairs = scratch.keep(possible(grouped(classes, percent), percent), "possible")
 
     # texts of the classes that may have links; a class is known by its key, as ids may repeat
     wanted = pairs.select("node").distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("id")).distinct()
