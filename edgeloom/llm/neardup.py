@@ -39,6 +39,7 @@ MISS, MOST = 3e-7, 248
 #: A block's weight: rows, long documents counting for more; two blocks make a group.
 BLOCK, WEIGH = 128, 1000
 SIGMAS, SEED = 5.0, 99
+#: Stands for null where texts are looked up by id; a key tells such rows apart.
 NO_ID = -(2**63)
 
 _rng = np.random.Generator(np.random.PCG64(SEED))
@@ -161,8 +162,9 @@ def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def node_of(rep: Column, key: Column) -> Column:
-    """Binary that orders as (rep, key): the smallest node of a component has its smallest doc_id."""
-    return F.concat(F.unhex(F.lpad(F.hex(rep.bitwiseXOR(F.lit(NO_ID))), 16, "0")), key)
+    """Binary that orders as (rep, key), null reps last: the smallest node of a component has its smallest doc_id."""
+    place = F.lpad(F.hex(rep.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.unhex(F.when(rep.isNull(), "01").otherwise(F.concat(F.lit("00"), place))), key)
 
 
 def grouped(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -294,12 +296,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, digest) of each row, linking documents with 100 * intersection >= percent * union."""
     scratch = common.Scratch(docs.sparkSession, "neardup")
     rows = scratch.keep(signed(docs, percent), "rows")
-    reps = rows.filter("n > 0").groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.keep(reps.select("key", "rep", node_of(F.col("rep"), F.col("key")).alias("node"), "n", "sig"), "classes")
     pairs = scratch.keep(possible(grouped(classes, percent), percent), "possible")
 
     # texts of the classes that may have links; a class is known by its key, as ids may repeat
-    wanted = pairs.select("node").distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("id")).distinct()
+    wanted = pairs.select("node").distinct().join(classes.select("node", "rep"), "node").select(F.coalesce("rep", F.lit(NO_ID)).alias("id")).distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), common.utf8("text")).join(wanted, "id", "left_semi")
 
     def deflated(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -315,7 +317,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of_rep = classes.select("node", F.col("rep").alias("root_rep"))
     joined = roots.join(of_rep.withColumnRenamed("node", "root"), "root").select("node", "root_rep")
     final = scratch.keep(classes.select("key", "node", "rep").join(joined, "node", "left").select("key", F.coalesce("root_rep", "rep").alias("component_id")), "components")
-    filled = rows.filter("n > 0").select("doc_id", "n", "key", "digest").join(final, "key").select("doc_id", "n", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"), "digest")
+    filled = rows.filter("n > 0").select("doc_id", "n", "key", "digest").join(final, "key").select("doc_id", "n", "component_id", "digest")
     empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "digest")
     out = filled.unionByName(empty)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest")

@@ -52,3 +52,14 @@ def test_chance_of_a_miss():
         count, rows = neardup.banding(percent)
         assert (1 - (percent / 100) ** rows) ** count <= 3e-7
     assert neardup.banding(85) == (32, 6)
+
+
+def test_near_copies_without_an_id(spark):
+    base = [f"b{i}" for i in range(200)]
+    copy = lambda i: " ".join([*base[:i], "new", *base[i + 1 :]])
+    alone = [f"a{i}" for i in range(100)]
+    rows = [(5, copy(0)), (None, copy(199)), (7, copy(198)), (None, copy(197)), (2**63 - 1, " ".join(f"m{i}" for i in range(99))), (None, " ".join(f"m{i}" for i in range(100))), (None, " ".join(alone)), (None, " ".join(alone[:-1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(5, 5, True), (None, 5, False), (7, 5, False), (None, 5, False), (2**63 - 1, 2**63 - 1, True), (None, 2**63 - 1, False), (None, None, True), (None, None, True)], key=repr)
+    assert {r["doc_id"] for r in neardup.deduplicate(df).collect()} == {5, 2**63 - 1, None}
