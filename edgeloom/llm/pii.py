@@ -28,14 +28,19 @@ SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s{0,3}[=:]\s
 ACCESS = r"\bAKIA[A-Z0-9]{16}\b"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IBAN = r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"
-ISO = r"(?<![\w.-])\d{4}([-/.])\d{2}\1\d{2}(?![\w-])"
+ISO = r"(?<![\w.-])\d{4}([-/.])\d{2}\1\d{2}(?:(?![\w-])|(?=[Tt]\d{2}:?\d{2}))"
 DMY = r"(?<![\w.-])\d{1,2}([-/.])\d{1,2}\2\d{4}(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
 PHONE = r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5})(?![\w-])"
-#: In this order where several match at one place.
-ALL = "|".join([SECRET, ACCESS, EMAIL, IBAN, ISO, DMY, SSN, IP, CARD, PHONE])
+#: Digit groups that may hold a card; a card starts and ends at the borders of groups.
+RUN = r"(?<![\w-])\d(?:[ -]?\d){12,}+"
+START, END = r"(?:(?<![\w-])|(?<=\d-))", r"(?:(?![\w-])|(?=-\d))"
+#: As printed on cards: these come before other stretches that cross them.
+PRINTED = r"^(?:[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})$"
+#: In this order where several match at one place; a text's cards come between the two parts.
+FIRST, LAST = "|".join([SECRET, ACCESS, EMAIL, IBAN, ISO, DMY, SSN, IP]), PHONE
 #: Days from 1900-01-01 to 2100-01-01: as many as 150 * 487.
 DAY_BASES, FIRST_DAY = (150, 487), "1900-01-01"
 
@@ -99,6 +104,29 @@ def luhn(payload: Column) -> Column:
     return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("int")
 
 
+def cards(t: Column) -> Column:
+    """array<string>: the Luhn-valid stretches of 13 to 19 digits of each digit run, longest first; where some are as printed, only those and what doesn't cross them."""
+
+    def stretches(run: Column) -> Column:
+        return F.concat(*(F.regexp_extract_all(run, F.lit(rf"{START}(?=(\d(?:[ -]?\d){{{n - 1}}}){END})"), F.lit(1)) for n in range(19, 12, -1)))
+
+    def valid(m: Column) -> Column:
+        return F.element_at(F.transform(F.array(digits(m)), lambda d: luhn(F.slice(d, 1, F.size(d) - 1)) == F.element_at(d, -1)), 1)
+
+    def chosen(found: Column) -> Column:
+        printed = F.filter(found, lambda m: m.rlike(PRINTED))
+        crosses = lambda m, p: p.contains(F.substring(m, 1, 4)) | p.contains(F.substring(m, -4, 4)) | m.contains(p)
+        return F.concat(printed, F.filter(found, lambda m: ~m.rlike(PRINTED) & ~F.exists(printed, lambda p: crosses(m, p))))
+
+    found = F.filter(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), stretches))), valid)
+    return let(found, chosen)
+
+
+def pattern(found: Column) -> Column:
+    """All kinds, with these cards."""
+    return F.when(F.size(found) > 0, F.concat(F.lit(f"{FIRST}|{START}(?:"), F.array_join(found, "|"), F.lit(f"){END}|{LAST}"))).otherwise(F.lit(f"{FIRST}|{LAST}"))
+
+
 def card(m: Column, key: str) -> Column:
     """Luhn-valid numbers of 13 to 19 digits: all digits but the last are permuted, the last is made right again."""
 
@@ -209,11 +237,11 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
     t = F.col(names[at])
-    found = F.regexp_extract_all(t, F.lit(ALL), F.lit(0))
-    parts = docs.toDF(*names).withColumn("found", found)
+    parts = docs.toDF(*names).withColumn("kinds", pattern(cards(t)))
+    parts = parts.withColumn("found", F.regexp_extract_all(t, F.col("kinds"), F.lit(0)))
     new = F.transform("found", lambda m: pseudonym(m, key))
     parts = parts.withColumn("new", F.when(F.size("found") > 0, new).otherwise(F.array().cast("array<string>")))
-    gaps = F.split(t, ALL, -1)
+    gaps = F.split(t, F.col("kinds"), -1)
     whole = F.array_join(F.flatten(F.zip_with(gaps, F.concat("new", F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
     count = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x)).cast("long")
     out = parts.select(*(F.when(F.size("found") > 0, whole).otherwise(t).alias(n) if n == names[at] else F.col(n) for n in names), F.coalesce(F.when(t.isNotNull(), count), F.lit(0).cast("long")).alias("replaced"))
