@@ -24,7 +24,7 @@ from . import common
 KEY, ROUNDS = "edgeloom-pseudonyms-1", 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.-]{8,128}"
+SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.-]{8,}+"
 ACCESS = r"\bAKIA[A-Z0-9]{16}\b"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IBAN = r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"
@@ -42,6 +42,8 @@ PRINTED = r"^(?:[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{
 #: In this order where several match at one place; a text's cards come between the two parts.
 FIRST, LAST = "|".join([SECRET, ACCESS, EMAIL, IBAN, ISO, DMY, SSN, IP]), PHONE
 #: Days from 1900-01-01 to 2100-01-01: as many as 150 * 487.
+#: Longer secrets are permuted in blocks, each with its own key.
+PIECE = 128
 DAY_BASES, FIRST_DAY = (150, 487), "1900-01-01"
 
 
@@ -68,7 +70,7 @@ def letters(chars: Column) -> Column:
     return F.transform(chars, lambda c: (F.instr(F.lit("\x00" + DIGITS + "\x00" * 3 + LOWER + "\x00" * 3 + UPPER), c) - 2).cast("int"))
 
 
-def permuted(m: Column, kind: str, key: str, skip: Column, last: int = 0) -> Column:
+def permuted(m: Column, kind: str | Column, key: str, skip: Column, last: int = 0) -> Column:
     """m with its ASCII letters and digits permuted, but for the first `skip` characters and the last `last`."""
     alphabet = DIGITS + LOWER + UPPER
     chars = F.filter(F.split(m, ""), lambda c: c != "")
@@ -83,7 +85,7 @@ def permuted(m: Column, kind: str, key: str, skip: Column, last: int = 0) -> Col
                 old = F.transform(at, lambda i: F.get(p, i))
                 low = F.transform(old, lambda v: F.when(v < 10, 0).when(v < 36, 10).otherwise(36).cast("int"))
                 base = F.transform(old, lambda v: F.when(v < 10, 10).otherwise(26).cast("int"))
-                new = feistel(F.zip_with(old, low, lambda v, b: v - b), base, F.lit(kind), key)
+                new = feistel(F.zip_with(old, low, lambda v, b: v - b), base, kind if isinstance(kind, Column) else F.lit(kind), key)
                 full = F.zip_with(new, low, lambda v, b: v + b)
                 return let(full, lambda v: F.array_join(F.transform(cs, lambda c, i: F.when(F.get(p, i) >= 0, F.substring(F.lit(alphabet), F.get(v, (F.array_position(at, i) - 1).cast("int")) + 1, F.lit(1))).otherwise(c)), ""))
 
@@ -197,6 +199,18 @@ def iban(m: Column, key: str) -> Column:
     return F.when(mod97(F.concat(rest, F.substring(m, 1, 4))) == 1, filled).otherwise(m)
 
 
+def secret(m: Column, key: str) -> Column:
+    """All of the value, in blocks."""
+    name = F.regexp_extract(m, r"^(\w+(?:-\w+)?\s*[=:]\s*[\"']?)", 1)
+
+    def body(start: Column) -> Column:
+        blocks = F.regexp_extract_all(F.substring(m, F.length(start) + 1, F.length(m)), F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+        new = F.transform(blocks, lambda x, i: permuted(x, F.when(i == 0, "secret").otherwise(F.concat(F.lit("secret"), i.cast("string"))), key, F.lit(0)))
+        return F.concat(start, F.array_join(new, ""))
+
+    return let(name, body)
+
+
 def ssn(m: Column, key: str) -> Column:
     area = F.substring(m, 1, 3).cast("int")
     valid = ~area.isin(0, 666) & (area < 900) & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
@@ -211,7 +225,7 @@ def phone(m: Column, key: str) -> Column:
 
 
 KINDS: list[tuple[str, str, Callable[[Column, str], Column]]] = [
-    ("secret", SECRET, lambda m, key: permuted(m, "secret", key, F.length(F.regexp_extract(m, r"^(\w+(?:-\w+)?\s*[=:]\s*[\"']?)", 1)))),
+    ("secret", SECRET, secret),
     ("access", ACCESS, lambda m, key: permuted(m, "access", key, F.lit(4))),
     ("email", EMAIL, lambda m, key: F.concat(permuted(F.substring_index(m, "@", 1), "email", key, F.lit(0)), F.lit("@"), F.substring_index(m, "@", -1))),
     ("iban", IBAN, iban),

@@ -25,3 +25,13 @@ def test_dates_of_timestamps(spark):
 def test_long_runs_of_digits(spark):
     texts = ["1" * 50_000 + "x", " ".join(f"{i % 7}" for i in range(6000)) + "a"]
     assert len(replaced(spark, texts)) == 2
+
+
+def test_long_secrets(spark):
+    value = "".join(chr(97 + i * i % 23) + str(i % 10) for i in range(120))
+    long = "aB3" * 4000
+    out = replaced(spark, [f"token={value}", f"password: {long} end", f"token={value[:128]}", f"token={value[:128]}x"])
+    assert len(out[0]) == len(value) + 6 and not any(value[i : i + 8] in out[0] for i in range(len(value) - 7))
+    assert out[1].endswith(" end") and len(out[1]) == len(long) + 14 and "aB3aB3" not in out[1]
+    assert out[0][:134] == out[2] == out[3][:-1]  # the first block as ever
+    assert len({out[1][10 + 128 * 3 * i : 10 + 128 * 3 * (i + 1)] for i in range(20)}) == 20  # equal blocks, different keys
