@@ -6,8 +6,10 @@ Gamma(2, 1) and b from U(0, 1), all functions of the term alone: t = floor(ln w
 a = c / (y exp(r)); the term with the least a is the sample, together with its t. Two documents share a sample with a
 probability equal to their generalised Jaccard similarity. A fingerprint holds 16 bits of each sample.
 
-Terms draw from a fixed table of random numbers by their hash; terms that draw the same row differ by their hash alone,
-and the smaller hash wins. A document without words has the fingerprint of the empty text. Null text counts as empty;
+Terms draw from a hash of the term and the sample: three draws of Exp(1), e1, e2, e3, give c = e1 + e2, r = ln(c / e1) + e3
+and b = 1 - ln(c / e1) / r, which are distributed as above and independent. At weight 1, t is 0 and a is e1, so that terms
+of weight 1 are compared by their hash alone; others draw all three only where a bound on a is below the least so far. Of
+equal a the smaller hash wins. A document without words has the fingerprint of the empty text. Null text counts as empty;
 null ids come first. Other columns are ignored.
 """
 
@@ -16,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +27,50 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLES, ROWS, SEED = 96, 1 << 14, 20240501
-LONG, PART, BLOCK = 64, 8, 1 << 12
+SAMPLES, SEED = 96, 20240501
+LONG, PART, BLOCK = 64, 8, 1 << 10
 
+_rng = np.random.Generator(np.random.PCG64(SEED))
+#: Odd factors of a hash's halves for each of three draws and each sample.
+LOW, HIGH = _rng.integers(0, 2**31, (2, 3, SAMPLES), np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+SALT = _rng.integers(0, 2**32, (3, SAMPLES), np.uint64).astype(np.uint32)
 
-@lru_cache(maxsize=1)
-def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ln c, r, b and, for weight 1, ln a; each (ROWS, SAMPLES)."""
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    r = rng.gamma(2, 1, (ROWS, SAMPLES)).astype(np.float32)
-    ln_c = np.log(rng.gamma(2, 1, (ROWS, SAMPLES))).astype(np.float32)
-    b = rng.random((ROWS, SAMPLES), dtype=np.float32)
-    return ln_c, r, b, ln_c + r * b - r
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    return x
+
+
+def hashed(h: np.ndarray, draw: int) -> np.ndarray:
+    """(SAMPLES, terms) 32-bit values."""
+    x = LOW[draw][:, None] * h.astype(np.uint32)
+    x += HIGH[draw][:, None] * (h >> np.uint64(32)).astype(np.uint32)
+    x += SALT[draw][:, None]
+    return scrambled(x)
+
+
+def hashed_at(h: np.ndarray, column: np.ndarray, draw: int) -> np.ndarray:
+    """The values of single terms and samples."""
+    return scrambled(LOW[draw][column] * h.astype(np.uint32) + HIGH[draw][column] * (h >> np.uint64(32)).astype(np.uint32) + SALT[draw][column])
+
+
+def exponential(x: np.ndarray) -> np.ndarray:
+    """Exp(1), ascending with x."""
+    return -np.log1p(-(x + 0.5) * 2.0**-32)
+
+
+def weighted(h: np.ndarray, w: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a and t of single terms and samples."""
+    e1, e2, e3 = exponential(hashed_at(h, column, 0)), exponential(hashed_at(h, column, 1)), -np.log((hashed_at(h, column, 2) + 0.5) * 2.0**-32)
+    q = np.log1p(e2 / e1)
+    r = q + e3
+    t = np.floor(np.log(w) / r + (1 - q / r))
+    t[w == 1] = 0
+    return e1 * np.exp(-r * t), t.astype(np.int64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,26 +93,31 @@ def sample(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """16 bits of each sample. Terms are taken in blocks, so that long texts need no more memory."""
     if not len(hashes):
         return np.zeros(SAMPLES, np.uint16)
-    ln_c, r, b, ln_a1 = draws()
-    best, term, step = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int64)
-    column = np.arange(SAMPLES)
+    best, term, step = np.full(SAMPLES, np.inf), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int64)
+    samples = np.arange(SAMPLES)
+    once = hashes[weights == 1]
+    for i in range(0, len(once), BLOCK):
+        h = once[i : i + BLOCK]
+        x = hashed(h, 0)
+        at = x.argmin(axis=1)  # the first of equal ones, which has the smaller hash
+        a = exponential(x[samples, at])
+        won = a < best
+        best[won], term[won] = a[won], h[at[won]]
+    many = weights > 1
+    hashes, weights = hashes[many], weights[many]
     for i in range(0, len(hashes), BLOCK):
         h, w = hashes[i : i + BLOCK], weights[i : i + BLOCK]
-        row = (h >> np.uint64(50)).astype(np.int64)
-        ln_a = ln_a1[row]
-        many = np.flatnonzero(w > 1)
-        if len(many):
-            k = row[many]
-            t = np.floor(np.log(w[many]).astype(np.float32)[:, None] / r[k] + b[k])
-            ln_a[many] = ln_c[k] - r[k] * (t - b[k]) - r[k]
-        low = ln_a.min(axis=0)
-        rows, cols = np.nonzero(ln_a == low)
-        at = np.empty(SAMPLES, np.int64)
-        at[cols[::-1]] = rows[::-1]  # of equal ones the first, which has the smaller hash
-        won = low < best
-        k = row[at[won]]
-        best[won], term[won] = low[won], h[at[won]]
-        step[won] = np.floor(np.log(w[at[won]]).astype(np.float32) / r[k, column[won]] + b[k, column[won]])
+        x = hashed(h, 0)
+        bound = np.minimum(best, exponential(x.min(axis=1)))  # a is e1 at most
+        least = (x * np.float32(2.0**-32)) * (hashed(h, 2) * np.float32(2.0**-32))  # a is e1 exp(-e3) / w at least, and e1 its uniform number
+        least /= w.astype(np.float32)
+        cols, rows = np.nonzero(least <= (bound * 1.0001).astype(np.float32)[:, None])
+        a, t = weighted(h[rows], w[rows], cols)
+        order = np.lexsort((rows, a, cols))
+        first = order[np.flatnonzero(np.diff(cols[order], prepend=-1))]
+        c, a, h, t = cols[first], a[first], h[rows[first]], t[first]
+        won = (a < best[c]) | ((a == best[c]) & (h < term[c]))
+        best[c[won]], term[c[won]], step[c[won]] = a[won], h[won], t[won]
     return (mix(term + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
