@@ -50,11 +50,13 @@ def utf8(column: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all tasks run in this process (local tests)."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where and (set_by_user := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         where = set_by_user.get()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="edgeloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -82,6 +84,12 @@ class Scratch:
         for name in names:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
+    def drop_but(self, *names: str) -> None:
+        """Removes all tables but these."""
+        for found in self._fs.listStatus(self._path(self.root)):
+            if found.getPath().getName() not in names:
+                self._fs.delete(found.getPath(), True)
+
 
 def pack_text(b: pa.Array) -> pa.Array:
     """Deflates each value, so that a shuffle of whole texts moves about a third of the bytes."""

@@ -3,16 +3,22 @@
 1. Each document's set of distinct 5-word shingles (64-bit hashes) gets a 128-bit key and a packed signature: the low 8
    bits of 192 minima (as many as the bands take). Documents with equal sets form a class; from here on a class is one node, however many copies it has.
 2. Candidates: at 0.85 32 bands of 6 minima (6 bytes of the packed signature), at 0.80 40 bands of 5. A pair right at the
-   limit shares no band with probability 3e-7 at most. Buckets are split into blocks of bounded size, and every pair of blocks is one group, so no task
-   ever holds a whole hot bucket. In a group, similarities are estimated from bit counts of the packed signatures and
+   limit shares no band with probability 3e-7 at most. Buckets are split into blocks of bounded size, so no task ever
+   holds a whole hot bucket. In a group of rows, similarities are estimated from bit counts of the packed signatures and
    corrected for chance collisions; a pair goes on if the estimate may belong to a link (5 standard deviations below),
    and only in the first band it shares.
 3. Links are confirmed on the full sets, rebuilt from the texts. Groups emit a spanning forest of their links, not all pairs.
-4. Components by alternating large-star and small-star steps on tables in the shared folder; each step reads its input back.
+4. Two phases. The first compares within blocks only, so its rows grow with the members. Its links are joined to
+   components. The second takes the buckets of several blocks that still hold different components: the members of the
+   bucket's largest component stay in blocks, the others meet every block, and only pairs of different components in
+   different blocks are compared. A large group of near copies is one component by then and isn't paired with itself;
+   members that stay different from all others are compared, block by block.
+5. Components by contraction on tables in the shared folder: every node takes the smallest node among its neighbours (and
+   that one's), edges are rewritten by it, and those within a component vanish, so no finished star is read again.
 
 Null and empty texts have an empty set and are linked with nothing: component_id = doc_id. Rows that repeat a doc_id are
 nodes of their own (of the class of their text). Null ids stay null, and so does component_id where no member has an id.
-Other columns are ignored.
+An empty table has no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +42,8 @@ WORDS, PERCENT = 5, 85
 BITS = 8
 #: Chance that a pair at the limit shares no band; the most minima of a signature (counts of equal ones have 8 bits).
 MISS, MOST = 3e-7, 248
-#: A block's weight: rows, long documents counting for more; two blocks make a group.
-BLOCK, WEIGH = 128, 1000
+#: A block's weight: rows, long documents counting for more; a group is a block, or two.
+BLOCK, WEIGH = 256, 1000
 SIGMAS, SEED = 5.0, 99
 #: Stands for null where texts are looked up by id; a key tells such rows apart.
 NO_ID = -(2**63)
@@ -120,9 +126,9 @@ def least_equal(percent: int) -> float:
     return minima * p - SIGMAS * np.sqrt(minima * p * (1 - p))
 
 
-def candidate_pairs(sig: np.ndarray, n: np.ndarray, block: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a group that may be links and share no earlier band, and their equal bytes. Pairs within a block count only if all rows are of one block."""
-    packed, bands, least, across = sig.view(np.uint64), sig.reshape(len(sig), *banding(percent)), least_equal(percent), block[0] != block[-1] or len(set(block.tolist())) > 1
+def candidate_pairs(sig: np.ndarray, n: np.ndarray, apart: list[np.ndarray], band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a group that may be links, share no earlier band and differ in each of `apart`, and their equal bytes."""
+    packed, bands, least = sig.view(np.uint64), sig.reshape(len(sig), *banding(percent)), least_equal(percent)
     found: list[tuple] = []
     step = max(1, 65536 // len(sig))
     for i in range(0, len(sig), step):
@@ -131,8 +137,8 @@ def candidate_pairs(sig: np.ndarray, n: np.ndarray, block: np.ndarray, band: int
         ok &= np.arange(len(sig))[None, :] > np.arange(i, min(i + step, len(sig)))[:, None]
         small, large = np.minimum(n[i : i + step, None], n), np.maximum(n[i : i + step, None], n)
         ok &= 100 * small >= percent * large
-        if across:
-            ok &= block[i : i + step, None] != block
+        for x in apart:
+            ok &= x[i : i + step, None] != x
         a, b = np.nonzero(ok)
         if len(a):
             first = (bands[a + i] == bands[b]).all(axis=2).argmax(axis=1) == band
@@ -167,46 +173,80 @@ def node_of(rep: Column, key: Column) -> Column:
     return F.concat(F.unhex(F.when(rep.isNull(), "01").otherwise(F.concat(F.lit("00"), place))), key)
 
 
-def grouped(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows (bucket, i, j, band, block, n, node, sig): each bucket's pairs of blocks, with the members of both."""
+def weight() -> Column:
+    return F.greatest(F.lit(1.0), F.col("n") / WEIGH)
+
+
+def blocks(weight: Column, members: Column) -> Column:
+    return F.least(F.ceil(weight / BLOCK), members).cast("int")
+
+
+def members(classes: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
+    """(bucket, band, blocks, block, n, node): the buckets with several classes. Sizes are written before they are joined, so that a hot bucket's rows can be split."""
     count, width = banding(percent)
     spread = classes.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("band"), "sig")
     spread = spread.select("node", "n", "band", F.xxhash64("band", F.substring("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"))
-    weight = F.greatest(F.lit(1.0), F.col("n") / WEIGH)
-    several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(weight).alias("weight")).filter("members > 1")
-    several = several.select("bucket", F.least(F.ceil(F.col("weight") / BLOCK), F.col("members")).cast("int").alias("blocks"))
+    several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(weight()).alias("weight")).filter("members > 1")
+    several = scratch.keep(several.select("bucket", blocks(F.col("weight"), F.col("members")).alias("blocks")), "several")
     rows = spread.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node")
-    return rows.join(classes.select("node", "n", "sig"), "node").select("bucket", "i", "j", "band", "block", "n", "node", "sig")
+    return scratch.keep(rows.select("bucket", "band", "blocks", "block", "n", "node"), "members")
+
+
+def within_blocks(rows: DataFrame) -> DataFrame:
+    """Groups of the first phase: every block."""
+    return rows.select("bucket", F.col("block").alias("i"), F.col("block").alias("j"), "band", F.col("block").alias("part"), "block", "n", "node", F.col("node").alias("comp"))
+
+
+def across_blocks(rows: DataFrame, roots: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Groups of the second phase, pairs of parts (i, j) of buckets that hold different components: parts of the largest component follow the others."""
+    several = rows.filter("blocks > 1").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    several = scratch.keep(several.select("bucket", "band", "block", "n", "node", "comp"), "across")
+    sizes = several.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(weight()).alias("w"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("w", "c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("c"), F.sum("w").alias("w")).filter("comps > 1")
+    others, own = blocks(F.col("w") - F.col("main.w"), F.col("c") - F.col("main.c")), blocks(F.col("main.w"), F.col("main.c"))
+    mixed = scratch.keep(sizes.select("bucket", F.col("main.comp").alias("main"), F.greatest(F.lit(1), others).alias("others"), own.alias("own")), "mixed")
+    rows, at = several.join(mixed, "bucket"), F.xxhash64("bucket", "node")
+    rows = rows.withColumn("part", F.when(F.col("comp") == F.col("main"), F.col("others") + F.pmod(at, F.col("own"))).otherwise(F.pmod(at, F.col("others"))).cast("int"))
+    last = F.when(F.col("comp") == F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "band", "part", "block", "n", "node", "comp")
 
 
 def possible(rows: DataFrame, percent: int) -> DataFrame:
-    """(bucket, i, j, at, node, partners): members of each group with pairs that may be links; a partner is its place and the pair's equal bytes."""
-    schema = "bucket long, i int, j int, at int, node binary, partners array<int>"
+    """(bucket, i, j, at, node, comp, partners): members of each group with pairs that may be links; a partner is its place and the pair's equal bytes.
+
+    rows: bucket, i, j, band, part, block, n, node, comp, sig. Pairs of one component have no need of a link; pairs of one
+    block have met in the first phase, where each node is a component of its own.
+    """
+    schema = "bucket long, i int, j int, at int, node binary, comp binary, partners array<int>"
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "i", "j", "at", "node", "partners"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "i", "j", "at", "node", "comp", "partners"])
 
-        for bucket, i, j, band, block, n, node, sig in common.groups(batches, 3):
+        for bucket, i, j, band, part, block, n, node, comp, sig in common.groups(batches, 3):
             if len(node) < 2:
                 continue
+            apart = []
+            if comp != node:
+                number: dict[bytes, int] = {}
+                apart = [np.array([number.setdefault(c, len(number)) for c in comp]), np.array(block)]
+                if len(number) < 2:
+                    continue
+            if i[0] != j[0]:
+                apart.append(np.array(part))
             packed = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
-            block = np.array(block)
-            if i[0] != j[0] and len(set(block.tolist())) < 2:
-                continue  # the other block is empty
-            a, b, same = candidate_pairs(packed, np.array(n), block, band[0], percent)
+            a, b, same = candidate_pairs(packed, np.array(n), apart, band[0], percent)
             if not len(a):
                 continue
             partners: dict[int, list[int]] = {int(x): [] for x in np.concatenate([a, b])}
             place = {x: k for k, x in enumerate(sorted(partners))}
             for x, y, s in zip(a.tolist(), b.tolist(), same.tolist(), strict=True):
                 partners[x].append(place[y] << 8 | s)
-            out += [(bucket[0], i[0], j[0], place[x], node[x], p) for x, p in sorted(partners.items())]
+            out += [(bucket[0], i[0], j[0], place[x], node[x], comp[x], p) for x, p in sorted(partners.items())]
             if len(out) >= 4096:
                 yield batch()
                 out.clear()
@@ -217,12 +257,16 @@ def possible(rows: DataFrame, percent: int) -> DataFrame:
     return common.stream_arrow(dealt, f, schema)
 
 
-def confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of nodes, a < b: of each group a spanning forest. members: bucket, i, j, at, node, partners, z (deflated text)."""
+def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of components, a < b: of each group a spanning forest. pairs: bucket, i, j, at, node, comp, partners, z (deflated text)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_out, b_out = [], []
-        for _, _, _, at, node, partners, z in common.groups(batches, 3):
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+        for _, _, _, at, _, comp, partners, z in common.groups(batches, 3):
             sets: dict[int, np.ndarray] = {}
 
             def of(k: int, sets: dict = sets, z: list = z) -> np.ndarray:
@@ -232,76 +276,62 @@ def confirmed(members: DataFrame, percent: int) -> DataFrame:
 
             place = {p: k for k, p in enumerate(at)}
             pairs = sorted(((p & 255, k, place[p >> 8]) for k, ps in enumerate(partners) for p in ps), reverse=True)
-            up = list(range(len(node)))
+            up = {c: c for c in comp}
 
-            def root(x: int, up: list = up) -> int:
+            def root(x: bytes, up: dict = up) -> bytes:
                 while up[x] != x:
                     up[x] = up[up[x]]
                     x = up[x]
                 return x
 
             for _, x, y in pairs:
-                rx, ry = root(x), root(y)
+                rx, ry = root(comp[x]), root(comp[y])
                 if rx == ry:
                     continue  # linked already, by confirmed links
                 a, b = of(x), of(y)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     up[max(rx, ry)] = min(rx, ry)
-            for k in range(len(node)):
-                if (r := root(k)) != k:
-                    low, high = sorted((node[r], node[k]))
-                    a_out.append(low)
-                    b_out.append(high)
-            if len(a_out) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
-                a_out, b_out = [], []
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
-
-    return common.stream_arrow(members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "at"), f, "a binary, b binary")
+                    out.append((min(comp[x], comp[y]), max(comp[x], comp[y])))
+            if len(out) >= 4096:
+                yield batch()
+                out.clear()
+        if out:
+            yield batch()
 
+    return common.stream_arrow(pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "at"), f, "a binary, b binary")
 
-def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(node, root) of every node with a link; root is the smallest node of its component. links: a, b; written tables between steps."""
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def components(links: DataFrame, scratch: common.Scratch, name: str = "edges") -> DataFrame:
+    """(node, root) of every node that isn't the smallest of its component, which is root. links: a, b.
 
-    edges = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges-0")
-    step, before = 0, state(edges)
-    if not before[0]:
-        return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    while True:
-        # large star: each node's larger neighbours go to its smallest neighbour
+    Each round reads only edges between different contracted nodes. All joins are of written tables, so that Spark can
+    split the rows of a hub; minima are taken before the shuffle and after it.
+    """
+    edges = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), f"{name}-0")
+    moves: list[DataFrame] = []
+    while not edges.isEmpty():
+        k = len(moves)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a != b").distinct()
-        step += 1
-        large = scratch.keep(large, f"edges-{step}")
-        # small star: each node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select("m", F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        lone = least.select("m", "b")
-        step += 1
-        edges = scratch.keep(small.unionByName(lone).select(F.col("m").alias("a"), "b").filter("a != b").distinct(), f"edges-{step}")
-        scratch.drop(f"edges-{step - 1}", f"edges-{step - 2}")
-        now = state(edges)
-        if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = now
+        least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), f"{name}-least-{k}")
+        up = scratch.keep(least.select("node", F.col("up").alias("mid")).join(least.select(F.col("node").alias("mid"), F.col("up").alias("root")), "mid").select("node", "root"), f"{name}-up-{k}")
+        ends = edges.join(up.withColumnRenamed("node", "a"), "a").select(F.col("root").alias("x"), "b").join(up.withColumnRenamed("node", "b"), "b").select("x", F.col("root").alias("y")).filter("x != y")
+        edges = scratch.keep(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-{k + 1}")
+        scratch.drop(f"{name}-{k}", f"{name}-least-{k}")
+        moves.append(up.filter("node != root"))
+    if not moves:
+        return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    roots = moves.pop()
+    while moves:
+        # a node that moved may stand for others in a later round; both ways end at the same root
+        earlier = moves.pop().withColumnRenamed("root", "mid").join(roots.select(F.col("node").alias("mid"), F.col("root").alias("end")), "mid", "left")
+        roots = scratch.keep(earlier.select("node", F.coalesce("end", "mid").alias("root")).unionByName(roots).distinct(), f"{name}-roots-{len(moves)}")
+    return roots
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, digest) of each row, linking documents with 100 * intersection >= percent * union."""
-    scratch = common.Scratch(docs.sparkSession, "neardup")
-    rows = scratch.keep(signed(docs, percent), "rows")
-    reps = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = scratch.keep(reps.select("key", "rep", node_of(F.col("rep"), F.col("key")).alias("node"), "n", "sig"), "classes")
-    pairs = scratch.keep(possible(grouped(classes, percent), percent), "possible")
-
-    # texts of the classes that may have links; a class is known by its key, as ids may repeat
-    wanted = pairs.select("node").distinct().join(classes.select("node", "rep"), "node").select(F.coalesce("rep", F.lit(NO_ID)).alias("id")).distinct()
+def deflated_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, z): the text of each node, looked up by the id of its class; a class is known by its key, as ids may repeat."""
+    wanted = nodes.distinct().join(classes.select("node", "rep"), "node").select(F.coalesce("rep", F.lit(NO_ID)).alias("id")).distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), common.utf8("text")).join(wanted, "id", "left_semi")
 
     def deflated(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -309,10 +339,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), common.pack_text(b.column(1))], names=["key", "z"])
 
     z = common.map_arrow(texts, deflated, "key binary, z binary").filter("key is not null").groupBy("key").agg(F.first("z").alias("z"))
-    z = z.join(classes.select("key", "node"), "key").select("node", "z")
-    links = confirmed(pairs.join(z, "node").select("bucket", "i", "j", "at", "node", "partners", "z"), percent)
-    roots = components(links, scratch)
-    scratch.drop("possible")
+    return z.join(classes.select("key", "node"), "key").select("node", "z")
+
+
+def linked(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, scratch: common.Scratch, name: str) -> DataFrame:
+    """(node, root) of the components that the groups' links make of their components."""
+    pairs = scratch.keep(possible(groups.join(classes.select("node", "sig"), "node").select("bucket", "i", "j", "band", "part", "block", "n", "node", "comp", "sig"), percent), f"{name}-pairs")
+    if pairs.isEmpty():
+        return pairs.select("node", F.col("comp").alias("root"))
+    z = deflated_texts(docs, classes, pairs.select("node"))
+    links = confirmed(pairs.join(z, "node").select("bucket", "i", "j", "at", "node", "comp", "partners", "z"), percent)
+    roots = components(links, scratch, f"{name}-edges")
+    scratch.drop(f"{name}-pairs")
+    return roots
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, digest) of each row, linking documents with 100 * intersection >= percent * union."""
+    scratch = common.Scratch(docs.sparkSession, "neardup")
+    rows = scratch.keep(signed(docs, percent), "rows")
+    reps = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = scratch.keep(reps.select("key", "rep", node_of(F.col("rep"), F.col("key")).alias("node"), "n", "sig"), "classes")
+    bucketed = members(classes, percent, scratch)
+    roots = linked(docs, classes, within_blocks(bucketed), percent, scratch, "within")
+    if not bucketed.filter("blocks > 1").isEmpty():
+        later = linked(docs, classes, across_blocks(bucketed, roots, scratch), percent, scratch, "across")
+        # components of the first phase that went into others; a component of one node is that node
+        moved = roots.withColumnRenamed("root", "mid").join(later.select(F.col("node").alias("mid"), F.col("root").alias("end")), "mid", "left")
+        roots = moved.select("node", F.coalesce("end", "mid").alias("root")).unionByName(later)
 
     of_rep = classes.select("node", F.col("rep").alias("root_rep"))
     joined = roots.join(of_rep.withColumnRenamed("node", "root"), "root").select("node", "root_rep")
@@ -320,20 +374,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     filled = rows.filter("n > 0").select("doc_id", "n", "key", "digest").join(final, "key").select("doc_id", "n", "component_id", "digest")
     empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "digest")
     out = filled.unionByName(empty)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest")
+    out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest"), "result")
+    scratch.drop_but("result")
+    return out
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest doc_id, with all its columns.
 
     Rows that repeat both id and text are one document. Documents without words all stay. Of rows without an id only
-    those go that repeat a text or are linked to a document with an id.
+    those go that repeat a text or are linked to a document with an id. Whole rows move once: what stays is decided on
+    ids and digests, and both the join with them and the removal of repeated rows need the same partitioning.
     """
-    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    own = ["own_null", "own_id", "own_digest"]
+
+    def marked(doc_id: Column, text: Column) -> list[Column]:
+        return [x.alias(n) for x, n in zip((doc_id.isNull(), F.coalesce(doc_id.cast("long"), F.lit(NO_ID)), text), own, strict=True)]
+
+    kept = near_duplicates(docs, percent).filter("kept").select(*marked(F.col("doc_id"), F.col("digest"))).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("doc_id").cast("long").alias("own_id"), digest().alias("own_digest"))
-    stay = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")), "left_semi")
-    return stay.dropDuplicates(["own_id", "own_digest"]).drop("own_id", "own_digest").toDF(*docs.columns)
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), *marked(F.col("doc_id"), digest()))
+    return rows.dropDuplicates(own).join(kept.hint("merge"), own, "left_semi").select(*names).toDF(*docs.columns)
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

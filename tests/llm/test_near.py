@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from edgeloom.llm import neardup
+from edgeloom.llm import common, neardup
 
 
 def shingles(text):
@@ -63,3 +63,20 @@ def test_near_copies_without_an_id(spark):
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(5, 5, True), (None, 5, False), (7, 5, False), (None, 5, False), (2**63 - 1, 2**63 - 1, True), (None, 2**63 - 1, False), (None, None, True), (None, None, True)], key=repr)
     assert {r["doc_id"] for r in neardup.deduplicate(df).collect()} == {5, 2**63 - 1, None}
+
+
+def test_components_of_any_graph(spark):
+    """Random graphs, a path whose nodes alternate between small and large, and a hub, against union by hand."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    path = [x for pair in zip(range(300, 340), range(379, 339, -1), strict=True) for x in pair]
+    edges += list(zip(path, path[1:], strict=False)) + [(500, 400 + i) for i in range(60)] + [(7, 7)]
+    of = list(range(501))
+    for a, b in edges:
+        x, y = of[a], of[b]
+        of = [min(x, y) if r in (x, y) else r for r in of]
+    name = lambda i: bytes([i >> 8, i & 255])
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")
+    got = [(bytes(r["node"]), bytes(r["root"])) for r in neardup.components(df, common.Scratch(spark, "graph")).collect()]
+    assert sorted(got) == [(name(i), name(r)) for i, r in enumerate(of) if i != r]
+    assert neardup.components(df.limit(0), common.Scratch(spark, "graph")).count() == 0
