@@ -43,7 +43,9 @@ BITS = 8
 #: Chance that a pair at the limit shares no band; the most minima of a signature (counts of equal ones have 8 bits).
 MISS, MOST = 3e-7, 248
 #: A block's weight: rows, long documents counting for more; a group is a block, or two.
-BLOCK, WEIGH = 256, 1000
+BLOCK, WEIGH = 128, 1000
+#: Texts are looked up by id; documents whose id falls in none of so many buckets with a wanted id are passed over first.
+ID_BUCKETS = 1 << 20
 SIGMAS, SEED = 5.0, 99
 #: Stands for null where texts are looked up by id; a key tells such rows apart.
 NO_ID = -(2**63)
@@ -329,10 +331,15 @@ def components(links: DataFrame, scratch: common.Scratch, name: str = "edges") -
     return roots
 
 
-def deflated_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, z): the text of each node, looked up by the id of its class; a class is known by its key, as ids may repeat."""
-    wanted = nodes.distinct().join(classes.select("node", "rep"), "node").select(F.coalesce("rep", F.lit(NO_ID)).alias("id")).distinct()
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), common.utf8("text")).join(wanted, "id", "left_semi")
+def deflated_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """(node, z): the text of each node, looked up by the id of its class; a class is known by its key, as ids may repeat.
+
+    Before texts move they are held against the wanted ids' buckets, of which there are ID_BUCKETS at most.
+    """
+    wanted = scratch.keep(nodes.distinct().join(classes.select("node", "rep"), "node").select(F.coalesce("rep", F.lit(NO_ID)).alias("id")).distinct(), name)
+    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), common.utf8("text")).withColumn("bucket", bucket)
+    texts = texts.join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").select("id", "text").join(wanted, "id", "left_semi")
 
     def deflated(b: pa.RecordBatch) -> pa.RecordBatch:
         keys = [key_of(s) if len(s := shingles(x)) else None for x in b.column(1).to_pylist()]
@@ -347,7 +354,7 @@ def linked(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int,
     pairs = scratch.keep(possible(groups.join(classes.select("node", "sig"), "node").select("bucket", "i", "j", "band", "part", "block", "n", "node", "comp", "sig"), percent), f"{name}-pairs")
     if pairs.isEmpty():
         return pairs.select("node", F.col("comp").alias("root"))
-    z = deflated_texts(docs, classes, pairs.select("node"))
+    z = deflated_texts(docs, classes, pairs.select("node"), scratch, f"{name}-wanted")
     links = confirmed(pairs.join(z, "node").select("bucket", "i", "j", "at", "node", "comp", "partners", "z"), percent)
     roots = components(links, scratch, f"{name}-edges")
     scratch.drop(f"{name}-pairs")
