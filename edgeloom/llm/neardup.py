@@ -184,13 +184,14 @@ def blocks(weight: Column, members: Column) -> Column:
 
 
 def members(classes: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
-    """(bucket, band, blocks, block, n, node): the buckets with several classes. Sizes are written before they are joined, so that a hot bucket's rows can be split."""
+    """(bucket, band, blocks, block, n, node): the buckets with several classes. Sizes are written before they are joined,
+    so that a hot bucket's rows can be split; both sides are shuffled at every size, so that a small run shows what a large one costs."""
     count, width = banding(percent)
     spread = classes.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("band"), "sig")
     spread = spread.select("node", "n", "band", F.xxhash64("band", F.substring("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"))
     several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(weight()).alias("weight")).filter("members > 1")
     several = scratch.keep(several.select("bucket", blocks(F.col("weight"), F.col("members")).alias("blocks")), "several")
-    rows = spread.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    rows = spread.join(several.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
     return scratch.keep(rows.select("bucket", "band", "blocks", "block", "n", "node"), "members")
 
 
