@@ -5,9 +5,11 @@ automaton over the vocabulary, longest first; one is right if the prefix before
 token and it are a compatible pair, that is, BPE would not have merged across their border. Back-pointers give the ids.
 
 All new pre-tokens of an Arrow batch advance together, one byte at a time, as numpy vectors: the work is linear in the
-bytes, whatever the length of a pre-token. Ids of frequent pre-tokens are kept in a bounded table.
+bytes, whatever the length of a pre-token. Ids of short pre-tokens are kept in a bounded table.
 
-Null texts count as empty: no ids, empty decoded text. Repeated rows give repeated results; extra columns are ignored.
+Which characters are letters and numbers is asked of the tokenizers library itself, once a worker: versions of Unicode differ.
+
+Null texts count as empty: no ids, empty decoded text. Repeated rows give repeated results; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,32 @@ from . import common
 
 #: White space as Unicode has it (not Python's, which adds U+001C to U+001F).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 #: The same borders, more coarsely: no pre-token crosses from one chunk to the next.
 CHUNK = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 ENDS_OPEN = re.compile(rf"[{WS}]\Z")
-KEPT = 300_000
+#: Bounds of the table of kept pre-tokens: how many, and how many characters each.
+KEPT, KEPT_LENGTH = 300_000, 48
+
+
+def _between(points: np.ndarray) -> str:
+    """The inside of a pattern's [...] for ascending code points."""
+    starts = np.flatnonzero(np.diff(points, prepend=-2) != 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[starts], points[np.append(starts[1:], len(points)) - 1], strict=True))
+
+
+def borders(path: str) -> tuple[re.Pattern, re.Pattern]:
+    """The pattern that cuts pre-tokens, and one of a single run of letters. All code points go through the library's
+    splitter in one string, where each run of one class is a piece; what follows a letter (a digit) in one piece is a letter (a number)."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    space = re.compile(f"[{WS}]")
+    points = np.array([c for c in range(33, 0x110000) if not (0xD800 <= c < 0xE000 or space.match(chr(c)))])
+    text = "".join(map(chr, points.tolist()))
+    runs = [(i, j, text[i]) for _, (i, j) in split(text)]
+    letters, numbers = (_between(np.concatenate([points[i:j] for i, j, c in runs if len(split(before + c)) == 1])) for before in "a1")
+    cut = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{WS}{letters}{numbers}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
+    return re.compile(cut), re.compile(f" ?[{letters}]+")
 
 
 def byte_chars() -> list[str]:
@@ -76,7 +98,9 @@ class Bpe:
         self.piece_len = np.fromiter(map(len, piece), np.int64, size)
         self.piece_start = np.concatenate([[0], np.cumsum(self.piece_len)[:-1]])
         self.pool = np.frombuffer(b"".join(piece), np.uint8)
+        self.split, self.word = borders(path)
         self.kept: dict[str, bytes] = {}
+        self.passing: list[str] = []  # what is in the table for this batch alone
 
     def _pairs(self, n: int) -> None:
         """An open-addressed table from a pair of tokens to the token that merges them."""
@@ -217,14 +241,15 @@ class Bpe:
 
     def _fill(self, chunks: set[str]) -> None:
         """Encodes chunks that aren't kept yet."""
-        single = [c for c in chunks if c.isalpha() or c[:1] == " " and c[1:].isalpha()]
+        single = [c for c in chunks if self.word.fullmatch(c)]
         mixed = list(chunks.difference(single))
-        pieces = [SPLIT.findall(c) for c in mixed]
+        pieces = [self.split.findall(c) for c in mixed]
         flat = list({p for ps in pieces for p in ps}.difference(self.kept).difference(single))
         self.kept.update(zip(words := single + flat, self.encode_pretokens([p.encode() for p in words]), strict=True))
         get = self.kept.__getitem__
         for c, ps in zip(mixed, pieces, strict=True):
             self.kept[c] = b"".join(map(get, ps))
+        self.passing += [c for c in words + mixed if len(c) > KEPT_LENGTH]
 
     def _lookup(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special tokens."""
@@ -243,12 +268,13 @@ class Bpe:
                 if not open_.isdisjoint(row):
                     rows[i] = CHUNK.findall(texts[i])
                 missing.update(set(rows[i]).difference(self.kept))
-        whole = {c for c in missing if ENDS_OPEN.search(c)}  # white space alone, cut by the pattern
+        self.passing += [c for c in missing if ENDS_OPEN.search(c)]  # white space alone, cut by the pattern
         self._fill(missing)
         get = self.kept.__getitem__
         out = [b"".join(map(get, row)) for row in rows]
-        for c in whole:
-            del self.kept[c]
+        for c in self.passing:
+            self.kept.pop(c, None)
+        self.passing.clear()
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
