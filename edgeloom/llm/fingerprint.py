@@ -1,7 +1,8 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document's weighted terms are its words and pairs of adjacent words (ASCII lower case, split at ASCII white space; parts
-of 8 bytes for words over 64 bytes), weighted by their counts. For each of SAMPLES samples every term draws r and c from
+A document's weighted terms are its words and pairs of adjacent words (ASCII lower case, split at ASCII white space),
+weighted by their counts. Words over 64 bytes (texts without blanks) also give all their runs of 8 bytes, so that an
+inserted or dropped character changes few terms. For each of SAMPLES samples every term draws r and c from
 Gamma(2, 1) and b from U(0, 1), all functions of the term alone: t = floor(ln w / r + b), y = exp(r (t - b)),
 a = c / (y exp(r)); the term with the least a is the sample, together with its t. Two documents share a sample with a
 probability equal to their generalised Jaccard similarity. A fingerprint holds 16 bits of each sample.
@@ -10,7 +11,8 @@ Terms draw from a hash of the term and the sample: three draws of Exp(1), e1, e2
 and b = 1 - ln(c / e1) / r, which are distributed as above and independent. At weight 1, t is 0 and a is e1, so that terms
 of weight 1 are compared by their hash alone; others draw all three only where a bound on a is below the least so far. Of
 equal a the smaller hash wins. A document without words has the fingerprint of the empty text. Null text counts as empty;
-null ids come first. Other columns are ignored.
+null ids come first, and rows that repeat an id follow each other by their deflated text. An empty table has no rows, and
+of one row the next document is itself. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLES, SEED = 96, 20240501
-LONG, PART, BLOCK = 64, 8, 1 << 10
+LONG, BLOCK = 64, 1 << 10
 
 _rng = np.random.Generator(np.random.PCG64(SEED))
 #: Odd factors of a hash's halves for each of three draws and each sample.
@@ -82,11 +84,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct terms (ascending) and their weights."""
     words = text.lower().split()
-    if len(max(words, key=len, default=b"")) > LONG:
-        words = [p for w in words for p in ([w] if len(w) <= LONG else [w[i : i + PART] for i in range(0, len(w), PART)])]
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     pairs = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.unique(np.concatenate([h, pairs]), return_counts=True)
+    runs = [mix(np.lib.stride_tricks.sliding_window_view(np.frombuffer(w, np.uint8), 8).copy().view("<u8").ravel() ^ np.uint64(0xD6E8FEB86659FD93)) for w in words if len(w) > LONG]
+    return np.unique(np.concatenate([h, pairs, *runs]), return_counts=True)
 
 
 def sample(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
