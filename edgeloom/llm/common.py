@@ -75,9 +75,9 @@ class Scratch:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path(self.root))
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -101,6 +101,11 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
+def held_out(column: str, n: int, rest: int):
+    """Whether a row is kept from learning; a row without an id isn't."""
+    return F.coalesce(crc_mod(column, n) == rest, F.lit(False)).alias("held_out")
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Runs of equal values in the first `keys` columns, each as lists of its columns."""
     held: list[list] | None = None

@@ -4,8 +4,11 @@ Features: polyphase resampling, log-mel filterbanks over overlapped frames, and
 hysteresis (a segment starts above the upper threshold and ends below the lower one). A segment has a time span and a
 tensor of fixed shape, held in an Arrow fixed-shape tensor column (an IPC stream a document).
 
-Each document's features come from its own bytes alone, block by block, so equal payloads give equal features. An empty
-payload has no frames and no segments. Null text counts as empty; other columns are ignored.
+Each document's features come from its own bytes alone, block by block, so equal payloads (repeated rows, ties) give
+equal features. Null text counts as empty, which is stored as 64 zero bytes; texts of any length are taken whole. An
+empty payload has no frames and no segments, an empty table no rows. Other columns are ignored.
+
+The query writes the media column to the shared folder and reads it back; files and tensors are computed once.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RATE_IN, RATE_OUT = 16_000, 8_000
+RATE_IN, RATE_OUT = 16_000, 12_000
 FRAME, HOP, MELS, TAPS = 256, 128, 20, 16
 #: Shape of a segment's tensor: frames (means over equal shares of the segment) by mel bands.
 SHAPE = (8, MELS)
@@ -65,14 +68,18 @@ def polyphase(up: int, down: int) -> np.ndarray:
 
 
 def resample(x: np.ndarray, up: int, down: int, ahead: np.ndarray) -> np.ndarray:
-    """Every output sample is one sub-filter over TAPS inputs. ahead: the TAPS - 1 inputs before x."""
+    """Every output sample is one sub-filter over TAPS inputs; outputs of one sub-filter are `up` apart, their inputs `down`.
+    ahead: the TAPS - 1 inputs before x, whose length is a multiple of down but at the end."""
     h, x = polyphase(up, down), np.concatenate([ahead, x])
     n = (len(x) - TAPS + 1) * up
-    windows = np.lib.stride_tricks.sliding_window_view(x, TAPS) if n else np.empty((0, TAPS), np.float32)
-    at = np.arange(0, n, down)
-    if up == 1:
-        return windows[::down] @ h[0, ::-1]
-    return np.einsum("nt,nt->n", windows[at // up], h[at % up][:, ::-1])
+    if n <= 0:
+        return np.empty(0, np.float32)
+    windows = np.lib.stride_tricks.sliding_window_view(x, TAPS)
+    out = np.empty(-(-n // down), np.float32)
+    for k in range(min(up, len(out))):
+        place, phase = divmod(k * down, up)
+        out[k::up] = windows[place::down] @ h[phase, ::-1]
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -159,16 +166,21 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out.withColumnRenamed("id", id_col)
 
 
+def described(media: bytes | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Samples, mel bands, spans (frames) and tensors of a stored file."""
+    rate, payload = read_wav(media) if media else (RATE_IN, b"")
+    mel, energy = log_mel(payload, rate)
+    spans = segments(energy)
+    return payload, mel, spans, tensors(mel, spans)
+
+
 def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_frames, segments array<struct<start_s, end_s, log_mel array<float>>>, tensors binary) of each stored file; null media has none."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         n, found, ipc = [], [], []
         for media in b.column(1).to_pylist():
-            rate, payload = read_wav(media) if media else (RATE_IN, b"")
-            mel, energy = log_mel(payload, rate)
-            spans = segments(energy)
-            values = tensors(mel, spans)
+            _, mel, spans, values = described(media)
             n.append(len(mel))
             found.append([{"start_s": s * HOP / RATE_OUT, "end_s": e * HOP / RATE_OUT, "log_mel": v.ravel().tolist()} for (s, e), v in zip(spans.tolist(), values, strict=True)])
             ipc.append(tensor_ipc(values, spans))
@@ -179,32 +191,31 @@ def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return out.withColumnRenamed("id", id_col)
 
 
-def summary(payload: bytes, rate: int) -> str:
+def summary(mel: np.ndarray, spans: np.ndarray, values: np.ndarray) -> str:
     """Frames, segments, mean log-mel bands and a digest of the segments' spans and tensors (rounded, so that the last bits don't count)."""
-    mel, energy = log_mel(payload, rate)
-    spans = segments(energy)
-    rounded = np.round(tensors(mel, spans) * 16).astype(np.int16)
+    rounded = np.round(values * 16).astype(np.int16)
     mean = ",".join(f"{x:.2f}" for x in mel.mean(axis=0).tolist()) if len(mel) else ""
     digest = hashlib.blake2b(spans.astype("<i8").tobytes() + rounded.astype("<i2").tobytes(), digest_size=8).hexdigest()
     return f"frames={len(mel)};segments={len(spans)};mel={mean};tensors={digest}"
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, tensors binary"
 
 
 def digest(stored: DataFrame) -> DataFrame:
-    """Reads stored files back: sizes, digests and the features' summary."""
+    """Reads stored files back: sizes, digests, the features' summary, and the tensors with their time spans (an Arrow stream)."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for i, n, media in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            rate, payload = read_wav(media)
-            rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), summary(payload, rate)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            payload, mel, spans, values = described(media)
+            rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), summary(mel, spans, values), len(mel), tensor_ipc(values, spans)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return common.map_arrow(stored.select("doc_id", "n_bytes", "media"), f, SCHEMA)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(store(common.table(spark, sf_dir, "documents")))
+    stored = store(common.table(spark, sf_dir, "documents"))
+    return digest(common.Scratch(spark, "media").keep(stored, "files", "zstd"))
