@@ -2,20 +2,24 @@
 
 Pages become WARC/1.1 records: an HTTP response with a chunked body, or a revisit of an earlier response with an equal
 payload. A block over SEGMENT bytes is cut into the response and continuation records. Archives are gzip files that
-Spark's text writer commits task by task (each ends records with CRLF, which the format asks for), so lost tasks leave
-nothing behind. The reader follows Content-Length, groups continuations by WARC-Segment-Origin-ID, orders them by
+Spark's text writer commits task by task, so lost tasks leave nothing behind; each of its lines holds records of about
+LINE bytes and ends with CRLF, which the format asks for, and FILE_LINES of them make a file. The reader unpacks files
+piece by piece, follows Content-Length, groups continuations by WARC-Segment-Origin-ID, orders them by
 WARC-Segment-Number, verifies WARC-Segment-Total-Length and the digest, and decodes the chunked framing.
 
 Null html counts as empty, a null url has no WARC-Target-URI. Of equal payloads of at least SMALL bytes the row with the
-largest page_id is the response (every row with it, if rows repeat); if none has an id, all are responses. Rows that
-repeat a page_id get records of their own. Records that can't be put together come back with a `problem`.
+largest page_id is the response (every row with it, if rows repeat; revisits refer to the last of them); if none has an
+id, all are responses. Every row gets a record of its own, named by its id and its number. Payloads of any length are
+taken whole; an empty table gives archives without records; other columns are ignored. Records that can't be put
+together come back with a `problem`, and so does the rest of an archive that is cut off or damaged (type `damaged`, with
+the archive's path as its uri).
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEGMENT, CHUNK, SMALL, FILE_RECORDS = 16_384, 4096, 1000, 2000
+SEGMENT, CHUNK, SMALL, LINE, FILE_LINES = 16_384, 4096, 1000, 1 << 20, 64
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,11 +59,11 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"".join([b"WARC/1.1\r\n", head.encode(), b"\r\n", block, b"\r\n"])
 
 
-def page_records(record_id: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> list[bytes]:
+def page_records(record_id: str, page_id: int | None, url: str | None, payload: bytes, refers_to: str | None, segment: int = SEGMENT) -> list[bytes]:
     uri = None if url is None else "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
     same = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", "sha1:" + hashlib.sha1(payload).hexdigest()), ("WARC-Payload-Length", len(payload)), ("WARC-Page-ID", page_id), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", PROFILE), *same], HTTP)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", PROFILE), *same], HTTP)]
     block = HTTP + chunked(payload)
     if len(block) <= segment:
         return [record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{record_id}>"), *same], block)]
@@ -70,65 +74,99 @@ def page_records(record_id: str, page_id: int | None, url: str | None, payload:
     return out
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 7] != b"WARC/1.":
+def parse(pieces: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (lower-case names) and block of each record; holds one record and one piece at a time."""
+    source, held, done, at = iter([pieces] if isinstance(pieces, bytes) else pieces), bytearray(), False, 0
+
+    def until(ready) -> bool:
+        """Reads on until ready(); whether it came to that."""
+        nonlocal done
+        while not ready():
+            piece = next(source, None)
+            if piece is None:
+                done = True
+                return False
+            held.extend(piece)
+        return True
+
+    while until(lambda: len(held) > 0):
+        if not until(lambda: len(held) >= 7) or held[:7] != b"WARC/1.":
             raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
+        if not until(lambda: held.find(b"\r\n\r\n") >= 0):
+            raise ValueError(f"a header is cut off at byte {at}")
+        end = held.find(b"\r\n\r\n")
         fields = {}
-        for line in data[at:end].decode().split("\r\n")[1:]:
+        for line in held[:end].decode().split("\r\n")[1:]:
             name, _, value = line.partition(":")
             fields[name.lower()] = value.strip()
+        if not fields.get("content-length", "").isdecimal() or "warc-record-id" not in fields or "warc-type" not in fields:
+            raise ValueError(f"a header without length, id or type at byte {at}")
         size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError("the last record is cut off")
-        yield fields, block
-        at = end + 4 + size + 4
+        if not until(lambda: len(held) >= end + 4 + size):
+            raise ValueError(f"the last record is cut off at byte {at}")
+        yield fields, bytes(held[end + 4 : end + 4 + size])
+        until(lambda: len(held) >= end + 4 + size + 4)
+        del held[: end + 4 + size + 4]
+        at += end + 4 + size + 4
 
 
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
+def gunzip(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """All members of a gzip file, in pieces."""
     while data:
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
+        rest, piece = data, b""
+        while not d.eof and (rest or piece):  # output may be pending when all input is taken
+            try:
+                piece = d.decompress(rest, step)
+            except zlib.error as e:
+                raise ValueError(f"bad compression: {e}") from e
+            rest = d.unconsumed_tail
+            yield piece
+        if not d.eof:
+            raise ValueError("the compressed data is cut off")
         data = d.unused_data
-    return b"".join(out)
 
 
 def with_revisits(pages: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(page_id, url, html bytes, refers_to): the page whose payload this one repeats, or null.
+    """(page_id, url, html bytes, row, refers_to, refers_to_row): id and number of the row whose payload this one repeats, or nulls.
 
     Only digests are grouped; groups of several pages are written out, so that Spark knows their size before it joins.
     """
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.utf8("html"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.utf8("html")).withColumn("row", F.monotonically_increasing_id())
     key = [F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")]
-    large = p.select("page_id", *key).filter(f"size >= {SMALL}").groupBy("digest", "size").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n"))
-    repeated = scratch.keep(large.filter("n > 1 and target is not null").select("digest", "size", "target"), "repeated")
-    joined = p.select("page_id", "url", "html", *key).join(repeated, ["digest", "size"], "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("target")), F.col("target")).alias("refers_to"))
+    large = p.select("page_id", "row", *key).filter(f"size >= {SMALL}").groupBy("digest", "size").agg(F.max(F.struct("page_id", "row")).alias("target"), F.count(F.lit(1)).alias("n"))
+    repeated = scratch.keep(large.filter("n > 1 and target.page_id is not null").select("digest", "size", F.col("target.page_id").alias("target"), F.col("target.row").alias("target_row")), "repeated")
+    joined = p.select("page_id", "url", "html", "row", *key).join(repeated, ["digest", "size"], "left")
+    own = F.col("page_id").eqNullSafe(F.col("target"))
+    return joined.select("page_id", "url", "html", "row", F.when(~own, F.col("target")).alias("refers_to"), F.when(~own, F.col("target_row")).alias("refers_to_row"))
 
 
 def write(pages: DataFrame, path: str, scratch: common.Scratch) -> None:
     """Writes gzipped WARC files under path."""
-    unique = pages.filter("page_id is not null").groupBy("page_id").count().filter("count > 1").limit(1).count() == 0
-    rows = with_revisits(pages, scratch).withColumn("row", F.monotonically_increasing_id())
 
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for page_id, url, html, target, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            name = f"urn:page:{page_id}" if unique and page_id is not None else f"urn:page:{page_id}:row-{row}"
-            out += page_records(name, page_id, url, html, target)
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, size = [], 0
 
-    records = common.map_arrow(rows, f, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"\r\n".join(line)], pa.binary())], names=["records"])
+
+        for b in batches:
+            for page_id, url, html, row, target, target_row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for r in page_records(f"urn:page:{page_id}:{row}", page_id, url, html, None if target is None else f"urn:page:{target}:{target_row}"):
+                    line.append(r)
+                    size += len(r)
+                    if size >= LINE:
+                        yield batch()
+                        line, size = [], 0
+        if line:
+            yield batch()
+
+    records = common.stream_arrow(with_revisits(pages, scratch), f, "records binary").select(F.col("records").cast("string").alias("value"))
+    records.write.option("lineSep", "\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_LINES).text(path)
 
 
 READ = "origin string, segment int, type string, page_id long, uri string, refers_to long, payload_bytes long, payload_digest string, total long, block binary"
+DAMAGED = "damaged"
 DONE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, payload binary, problem string"
 
 
@@ -137,7 +175,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
     Files are parsed in parallel. Only segments of cut records carry their bytes through the shuffle.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def number(x: str | None) -> int | None:
         return None if x is None else int(x)
@@ -147,18 +185,30 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        names = [c.split()[0] for c in READ.split(", ")]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
+            return out if with_payload else finished(out)
+
         for b in batches:
-            for content in b.column(0):
-                rows = []
-                for x, block in parse(gunzip(content.as_py())):
-                    digest = x.get("warc-payload-digest")
-                    rows.append((
-                        x.get("warc-segment-origin-id", x["warc-record-id"]), int(x.get("warc-segment-number", 0)), x["warc-type"], number(x.get("warc-page-id")), x.get("warc-target-uri"),
-                        page(x.get("warc-refers-to")), number(x.get("warc-payload-length")), digest and digest.partition(":")[2], number(x.get("warc-segment-total-length")), block,
-                    ))
-                for i in range(0, len(rows), 512):
-                    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 512], strict=True), schema, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
-                    yield batch if with_payload else finished(batch)
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows, size = [], 0
+                try:
+                    for x, block in parse(gunzip(content.as_py())):
+                        digest = x.get("warc-payload-digest")
+                        rows.append((
+                            x.get("warc-segment-origin-id", x["warc-record-id"]), int(x.get("warc-segment-number", 0)), x["warc-type"], number(x.get("warc-page-id")), x.get("warc-target-uri"),
+                            page(x.get("warc-refers-to")), number(x.get("warc-payload-length")), digest and digest.partition(":")[2], number(x.get("warc-segment-total-length")), block,
+                        ))
+                        size += len(block)
+                        if size >= common.BATCH_BYTES or len(rows) >= 512:
+                            yield batch(rows)
+                            rows, size = [], 0
+                except (ValueError, IndexError) as e:
+                    rows.append((file, 0, DAMAGED, None, file, None, None, None, None, str(e).encode()))
+                if rows:
+                    yield batch(rows)
 
     def payload_of(block: bytes, digest: str | None) -> tuple[bytes | None, str | None]:
         try:
@@ -172,11 +222,11 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
         """Uncut responses are checked where they are read; their bytes don't go through the shuffle."""
         rows = batch.to_pylist()
         for r in rows:
-            if r["segment"] == 0:
+            if r["segment"] == 0 and r["type"] != DAMAGED:
                 payload, problem = payload_of(r["block"], r["payload_digest"]) if r["type"] == "response" else (None, None)
                 if r["type"] == "response":
                     r["payload_bytes"], r["payload_digest"] = (len(payload), hashlib.sha1(payload).hexdigest()) if payload is not None else (None, None)
-                r["block"], r["uri"] = problem.encode() if problem else None, r["uri"]
+                r["block"] = problem.encode() if problem else None
         return pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +239,9 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
         for _, segment, kind, page_id, uri, refers_to, size, digest, total, block in common.groups(batches, 1):
             payload = problem = None
-            if segment[0] == 0 and not with_payload:
+            if kind[0] == DAMAGED:
+                size, digest, problem = None, None, block[0].decode()
+            elif segment[0] == 0 and not with_payload:
                 size, digest, problem = size[0], digest[0], block[0] and block[0].decode()
             elif kind[0] == "revisit":
                 size, digest = size[0], digest[0]
