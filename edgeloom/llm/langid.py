@@ -2,11 +2,14 @@
 
 N-grams of 1 to 3 characters of <word> are hashed. TF is an n-gram's share of all in the text; IDF comes from document
 frequencies over all rows that may be learned from, counted in a distributed pass. The regression is trained by
-follow-the-regularised-leader with L1 and L2 penalties (most weights stay exactly 0) on a bounded sample (ROWS, texts of
-at most CHARS code points), and its temperature is calibrated on a fifth of that sample, which training doesn't see.
-
-Only rows with text and lang whose crc32(doc_id as text) mod 4 is not 2 are learned from. Null texts and texts without
-letters are `und` with score 0, as is everything if there is nothing to learn from. Ties go to the first language by name.
+follow-the-regularised-leader with L1 and L2 penalties (most weights stay exactly 0) on a bounded sample (ROWS, counted
+where their texts are: only counts come to the driver, 65536 a text at most), and its temperature is calibrated on a
+fifth of that sample, which training doesn't see.
+
+Only rows with text and lang whose crc32(doc_id as text) mod 4 is not 2 are learned from; a row without an id is not held
+out. Rows that repeat count once in the sample. Null texts and texts without letters are `und` with score 0, as is
+everything if there is nothing to learn from. Ties go to the first language by name. An empty table gives no rows; all
+other columns stay.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common, wordbags
 
-ROWS, CHARS, LOW, HIGH, BITS = 3000, 50_000, 1, 3, 16
+ROWS, LOW, HIGH, BITS = 3000, 1, 3, 16
 ALPHA, BETA, L1, L2, EPOCHS, SCALE, SEED = 0.3, 1.0, 0.02, 0.1, 3, 10.0, 11
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -45,7 +48,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         start, flat = np.zeros(1, np.int64), np.empty(0, np.int64)
         for b in batches:
             texts = [set(split(t)) for t in b.column(0).to_pylist()]
-            if len(index) > 200_000:
+            if len(index) > 200_000 or len(flat) > 8 << 20:
                 index, start, flat = {}, np.zeros(1, np.int64), np.empty(0, np.int64)
             new = list(set().union(*texts).difference(index))
             bucket, owner = wordbags.grams(new, LOW, HIGH, BITS)
@@ -119,24 +122,29 @@ def ftrl(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
     return weights(z, n), bias
 
 
+def counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (ascending) of a text's n-grams, and their numbers."""
+    index: dict[str, int] = {}
+    for w in words:
+        index[w] = index.get(w, 0) + 1
+    bucket, owner = wordbags.grams(list(index), LOW, HIGH, BITS)
+    n = np.bincount(bucket, np.array(list(index.values()), np.int64)[owner] if len(owner) else None, 1 << BITS).astype(np.int64)
+    found = np.flatnonzero(n)
+    return found, n[found]
+
+
 def fit(texts: list[str], langs: list[str], frequency: np.ndarray, rows: int) -> Model | None:
+    return fit_counts([counted(split(t)) for t in texts], langs, frequency, rows)
+
+
+def fit_counts(texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], frequency: np.ndarray, rows: int) -> Model | None:
     languages = sorted(set(langs))
     if not languages:
         return None
     idf = np.log((1 + rows) / (1 + frequency)) + 1
-    words = [split(t) for t in texts]
-    distinct = list({w for t in words for w in t})
-    index = {w: i for i, w in enumerate(distinct)}
-    bucket, owner = wordbags.grams(distinct, LOW, HIGH, BITS)
-    order = np.argsort(owner, kind="stable")
-    bucket, size = bucket[order], np.bincount(owner, minlength=len(distinct))
-    start = np.concatenate([[0], np.cumsum(size)])
     bags, y = [], []
-    for t, lang in zip(words, langs, strict=True):
-        if t:
-            w = np.fromiter(map(index.__getitem__, t), np.int64, len(t))
-            k = size[w]
-            b, n = np.unique(bucket[np.repeat(start[w] - (np.cumsum(k) - k), k) + np.arange(k.sum())], return_counts=True)
+    for (b, n), lang in zip(texts, langs, strict=True):
+        if len(b):
             bags.append((b, SCALE * n / n.sum() * idf[b]))
             y.append(languages.index(lang))
     if not bags:
@@ -161,9 +169,14 @@ def learn(docs: DataFrame, rows: int = ROWS) -> Model | None:
     """docs: doc_id, text, lang."""
     rows_of = learnable(docs.select("doc_id", "text", "lang"))
     frequency, n = document_frequencies(rows_of)
-    found = wordbags.sample(rows_of, "doc_id", rows, CHARS).collect()
-    found.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
-    return fit([r["text"] for r in found], [r["lang"] for r in found], frequency, n)
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        bags = [counted(split(t)) for t in b.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k.astype("<i4").tobytes() for k, _ in bags], pa.binary()), pa.array([c.astype("<i8").tobytes() for _, c in bags], pa.binary())], names=["id", "lang", "bucket", "n"])
+
+    sampled = wordbags.sample(rows_of, rows).select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
+    found = sorted(common.map_arrow(sampled, f, "id string, lang string, bucket binary, n binary").collect(), key=lambda r: (r["id"] or "", r["lang"], r["bucket"], r["n"]))
+    return fit_counts([(np.frombuffer(r["bucket"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<i8")) for r in found], [r["lang"] for r in found], frequency, n)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -191,4 +204,4 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     out = predict(docs.select("doc_id", "text"), learn(docs))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), (common.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out("doc_id", 4, 2), "lang_pred", F.col("lang_score").alias("score"))

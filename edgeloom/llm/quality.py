@@ -5,10 +5,11 @@ word repeats the one before it. Their weights are shared by all grades; ordered
 into grades: P(grade > k) = sigmoid(f - threshold k). That gives the expected grade and the tail probability of the upper
 grades, by which documents are selected.
 
-Fitted on a bounded sample of rated rows (ROWS at most, texts of at most CHARS code points) whose crc32(doc_id as text)
-mod 5 is not 0. Null ratings and ratings of missing documents are not used. A text without words has f = 0 and, like
-any text, gets its probabilities from the thresholds. With fewer than two grades in the sample nothing is rejected:
-the tail probability is 1.
+Fitted on a bounded sample of rated rows (ROWS at most, counted where their texts are: only counts come to the driver,
+65536 a text at most) whose crc32(doc_id as text) mod 5 is not 0. Null ratings and ratings of missing documents are not
+used; rows that repeat count once in the sample. A text without words has f = 0 and, like any text, gets its
+probabilities from the thresholds. With fewer than two grades in the sample nothing is rejected: the tail probability is
+1. A row without an id is not held out. An empty table gives no rows; all other columns stay.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common, wordbags
 
-ROWS, CHARS, BITS, STEPS, RATE, DECAY, SCALE = 4000, 50_000, 16, 150, 0.05, 1e-4, 8.0
+ROWS, BITS, STEPS, RATE, DECAY, SCALE = 4000, 16, 150, 0.05, 1e-4, 8.0
 REPEAT = 0  # bucket of "repeats the word before"
 RUNS = [(re.compile(p), c) for p, c in ((r"[A-ZÀ-ÖØ-Þ]{2,}", "A"), (r"[^\W\d_]+", "a"), (r"\d+", "0"))]
 
@@ -74,62 +75,72 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(f - self.thresholds, -30, 30)))
 
 
-def design(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Non-zero features: text, bucket, mean count."""
-    distinct = list({w for t in texts for w in t})
-    index, of = {w: i for i, w in enumerate(distinct)}, buckets(distinct) if distinct else np.empty((0, 2), np.int64)
-    rows, cols, vals = [], [], []
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        ids = np.fromiter(map(index.__getitem__, t), np.int64, len(t))
-        k, n = np.unique(np.concatenate([of[ids].ravel(), np.zeros((ids[1:] == ids[:-1]).sum(), np.int64)]), return_counts=True)
-        rows.append(np.full(len(k), i))
-        cols.append(k)
-        vals.append(SCALE * n / len(t))
-    cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    return cat(rows, np.int64), cat(cols, np.int64), cat(vals, np.float64)
+def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's features: buckets (ascending) and mean counts."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0)
+    index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    of, ids = buckets(list(index)), np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+    k, n = np.unique(np.concatenate([of[ids].ravel(), np.zeros((ids[1:] == ids[:-1]).sum(), np.int64)]), return_counts=True)
+    return k, SCALE * n / len(words)
+
+
+def gradient(f: np.ndarray, y: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log-likelihood, by each text's f and by theta (the first threshold, and logs of the gaps)."""
+    n, t = len(f), cuts(theta)
+    # P(grade k) = P(above k - 1) - P(above k)
+    above = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(f[:, None] - t, -30, 30))), np.zeros((n, 1))], axis=1)
+    upper, lower = above[np.arange(n), y], above[np.arange(n), y + 1]
+    p = np.maximum(upper - lower, 1e-9)
+    d_up, d_low = upper * (1 - upper) / p, lower * (1 - lower) / p
+    by_cut = np.bincount(np.clip(y - 1, 0, None), np.where(y > 0, d_up, 0), len(t)) / n - np.bincount(np.clip(y, None, len(t) - 1), np.where(y < len(t), d_low, 0), len(t)) / n
+    tail = np.cumsum(by_cut[::-1])[::-1]
+    return -(d_up - d_low) / n, np.concatenate([tail[:1], tail[1:] * np.exp(theta[1:])])
+
+
+def cuts(theta: np.ndarray) -> np.ndarray:
+    return np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
 
 
 def fit(texts: list[str], grades: list[int]) -> Model | None:
+    return fit_bags([bag(t.split()) for t in texts], grades)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], grades: list[int]) -> Model | None:
     """Maximum likelihood with L2 decay by Adam; the thresholds stay ordered as a first one and logs of the gaps."""
     levels = sorted(set(grades))
     if len(levels) < 2:
         return None
-    row, col, val = design([t.split() for t in texts])
-    n, y = len(texts), np.searchsorted(levels, grades)
+    row = np.repeat(np.arange(len(bags)), [len(k) for k, _ in bags])
+    col, val = np.concatenate([k for k, _ in bags]), np.concatenate([v for _, v in bags])
+    n, y = len(bags), np.searchsorted(levels, grades)
     above = np.array([(y > k).mean() for k in range(len(levels) - 1)])
     start = -np.log(above / (1 - above))
     theta = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     weight = np.zeros(1 << BITS)
     moments = [[np.zeros_like(weight), np.zeros_like(weight)], [np.zeros_like(theta), np.zeros_like(theta)]]
-    cut = lambda: np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for step in range(1, STEPS + 1):
-        f, t = np.bincount(row, val * weight[col], n), cut()
-        # P(grade k) = P(above k - 1) - P(above k)
-        above = np.concatenate([np.ones((n, 1)), sig(f[:, None] - t), np.zeros((n, 1))], axis=1)
-        upper, lower = above[np.arange(n), y], above[np.arange(n), y + 1]
-        p = np.maximum(upper - lower, 1e-9)
-        d_up, d_low = upper * (1 - upper) / p, lower * (1 - lower) / p
-        grad_f = -(d_up - d_low) / n
-        grad_t = np.bincount(np.clip(y - 1, 0, None), np.where(y > 0, d_up, 0), len(t)) / n - np.bincount(np.clip(y, None, len(t) - 1), np.where(y < len(t), d_low, 0), len(t)) / n
-        tail = np.cumsum(grad_t[::-1])[::-1]
-        grads = [np.bincount(col, val * grad_f[row], 1 << BITS) + DECAY * weight, np.concatenate([tail[:1], tail[1:] * np.exp(theta[1:])])]
+        grad_f, grad_t = gradient(np.bincount(row, val * weight[col], n), y, theta)
+        grads = [np.bincount(col, val * grad_f[row], 1 << BITS) + DECAY * weight, grad_t]
         for (m, v), x, g in zip(moments, (weight, theta), grads, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(weight, cut(), [int(x) for x in levels])
+    return Model(weight, cuts(theta), [int(x) for x in levels])
 
 
 def learn(spark: SparkSession, docs: DataFrame, ratings: DataFrame, grade: str = "quality", rows: int = ROWS) -> Model | None:
     """The sample's ratings are bounded, so they are broadcast to the documents; these aren't shuffled."""
     known = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("int").alias("grade")).filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & (common.crc_mod("doc_id", 5) != 0))
-    chosen = F.broadcast(wordbags.sample(known, "doc_id", rows, 0, None))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= CHARS).join(chosen, "doc_id").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["grade"], r["text"]))
-    return fit([r["text"] for r in found], [r["grade"] for r in found])
+    chosen = F.broadcast(wordbags.sample(known, rows))
+    found = wordbags.sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "grade", "text"), rows).filter("text is not null")
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        bags = [bag(t.split()) for t in b.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k.astype("<i4").tobytes() for k, _ in bags], pa.binary()), pa.array([v.astype("<f8").tobytes() for _, v in bags], pa.binary())], names=["doc_id", "grade", "bucket", "value"])
+
+    counted = sorted(common.map_arrow(found, f, "doc_id long, grade int, bucket binary, value binary").collect())
+    return fit_bags([(np.frombuffer(r["bucket"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f8")) for r in counted], [r["grade"] for r in counted])
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -162,5 +173,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     scored = score(docs.select("doc_id", "text"), learn(spark, docs, common.table(spark, sf_dir, "labels")))
     return scored.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= KEEP_FROM).alias("kept")
+        F.col("doc_id").cast("long").alias("doc_id"), common.held_out("doc_id", 5, 0), "expected_grade", "tail_probability", (F.col("tail_probability") >= KEEP_FROM).alias("kept")
     )

@@ -6,6 +6,7 @@ computed once, and a text costs one look-up a word.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -42,16 +43,16 @@ def grams(words: list[str], low: int, high: int, bits: int) -> tuple[np.ndarray,
 
 
 class WordTable:
-    """Rows of floats for words, made by values(words) when a word is new; starts again when it holds `kept` words."""
+    """Rows of floats for words, made by values(words) when a word is new; starts again when it holds `kept` words or `chars` characters of them."""
 
-    def __init__(self, values: Callable[[list[str]], np.ndarray], kept: int = 300_000):
-        self.make, self.kept, self.index = values, kept, {}
+    def __init__(self, values: Callable[[list[str]], np.ndarray], kept: int = 300_000, chars: int = 8 << 20):
+        self.make, self.kept, self.chars, self.index, self.held = values, kept, chars, {}, 0
         self.values = np.empty((0, 0))
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words the rows of self.values. They hold until the next call."""
-        if len(self.index) > self.kept:
-            self.index, self.values = {}, np.empty((0, 0))
+        if len(self.index) > self.kept or self.held > self.chars:
+            self.index, self.values, self.held = {}, np.empty((0, 0)), 0
         missing: set[str] = set()
         for words in texts:
             missing.update(set(words).difference(self.index))
@@ -66,6 +67,7 @@ class WordTable:
                 self.values = grown
             self.values[n : n + len(made)] = made
             self.index.update(zip(new, range(n, n + len(new)), strict=True))
+            self.held += sum(map(len, new))
         get = self.index.__getitem__
         return [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
 
@@ -75,14 +77,13 @@ def bare(words: list[str]) -> list[str]:
     return [w.strip(EDGES) or w for w in words]
 
 
-def sample(df: DataFrame, key: str, rows: int, chars: int, text: str | None = "text") -> DataFrame:
-    """About `rows` rows of df (all, if it has fewer), chosen by a hash of the key; texts over `chars` code points are left out of the sample.
+def sample(df: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` of df's distinct rows (all, if it has no more), chosen by a hash of the whole row.
 
-    What comes back is bounded by its arguments, and may be broadcast or collected.
+    What comes back may be broadcast or collected. Rows that repeat count once, also where they are a large part of df.
     """
-    n = df.count()
-    if text:
-        df = df.filter(F.length(text) <= chars)
-    if n <= rows:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+    n, h = df.count(), F.xxhash64(*df.columns)
+    if n > rows:
+        share = (rows + 6 * math.sqrt(rows)) / n
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
+    return df.distinct().orderBy(h, *df.columns).limit(rows)

@@ -6,7 +6,7 @@ import random
 import re
 
 import xxhash
-from fixtures import documents
+from test_exact import documents
 from test_pii import replaced
 
 from edgeloom.llm import pii
