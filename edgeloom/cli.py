@@ -30,22 +30,29 @@ def main(argv: list[str] | None = None) -> int:
         for s in parser.parse(text):
             print(s)
         return 0
-    with Session(SparkSession.builder.getOrCreate(), a.base, a.use) as session:
-        try:
-            if a.explain:
+    spark = SparkSession.builder.getOrCreate()
+    try:
+        if a.explain:
+            with Session(spark, a.base, a.use) as session:
                 print(session.explain(text.strip().rstrip(";")))
-                return 0
-            for s in parser.parse(text):
-                r = session._run(s)
-                if r.report:
-                    print(f"{r.report.affected} rows, {r.report.errors} errors, {r.report.runtime} us")
-                for row in r:
-                    print(";".join(map(shown, row)))
-        except errors.EngineError as e:
-            print(e, file=sys.stderr)
-            return 1
+        else:
+            run(spark, a.base, text, a.use)
+    except errors.EngineError as e:
+        print(e, file=sys.stderr)
+        return 1
     return 0
 
 
+def run(spark: SparkSession, base: str, text: str, scope: str | None = None) -> None:
+    """Prints each statement's report or rows."""
+    with Session(spark, base, scope) as session:
+        for s in parser.parse(text):
+            r = session._run(s)
+            if r.report:
+                print(f"{r.report.affected} rows, {r.report.errors} errors, {r.report.runtime} us")
+            for row in r:
+                print(";".join(map(shown, row)))
+
+
 if __name__ == "__main__":
     sys.exit(main())

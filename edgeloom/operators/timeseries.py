@@ -1,37 +1,45 @@
 """Time series of each key: previous values, differences, integrals, buckets, as-of joins.
 
-A key may hold a third of all rows, so nothing here sorts a whole key in one task. Rows are cut into chunks of the
-ordering value; a window runs over (key, chunk), and what a chunk needs from those before it, its predecessor's last row,
+A key may hold a third of all rows, so nothing here sorts a whole key in one task. Rows are cut into chunks at quantiles
+of the ordering value; a window runs over (key, chunk), and what a chunk needs from those before it, its predecessor's last row,
 comes from a table with one row for each key and chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.typed import div
 
-#: So many chunks cover the range of the ordering value; a chunk of the hottest key fits a task.
-CHUNKS = 4096
+#: So many chunks hold about as many rows each; only rows with one and the same ordering value can't be parted.
+CHUNKS = 256
+
+
+def _place(at: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many of the ascending cuts are at most `at`, by halving."""
+    if not cuts:
+        return F.lit(first)
+    k = len(cuts) // 2
+    return F.when(at < F.lit(cuts[k]), _place(at, cuts[:k], first)).otherwise(_place(at, cuts[k + 1 :], first + k + 1))
 
 
 def _chunked(df: DataFrame, order: str, width: int | None, chunks: int) -> DataFrame:
-    """df with __chunk, ascending with `order`. Without a width the range of the values is cut in equal parts."""
+    """df with __chunk, ascending with `order`; NULL comes first. Without a width the borders are quantiles of the values, so outlying ones take nothing from the rest."""
     at = F.col(order)
     if width is not None:
         return df.withColumn("__chunk", F.floor(at / width).cast("long"))
-    low, high = df.agg(F.min(at).cast("double"), F.max(at).cast("double")).first()
-    step = max((high - low) / chunks, 1e-9) if low is not None else 1.0
-    return df.withColumn("__chunk", F.floor((at.cast("double") - F.lit(low or 0.0)) / F.lit(step)).cast("long"))
+    found = df.agg(F.percentile_approx(order, [i / chunks for i in range(1, chunks)], 20 * chunks)).first()[0]
+    cuts = sorted(set(found or []))
+    return df.withColumn("__chunk", F.when(at.isNull(), F.lit(-1)).otherwise(_place(at, cuts)).cast("long"))
 
 
 def previous(df: DataFrame, keys: list[str], order: str, values: list[str], ties: list[str] = (), width: int | None = None, chunks: int = CHUNKS) -> DataFrame:
     """df with prev_<v> of each of `values`: that of the row before in the order of `order` (numbers), then `ties`, within the keys (NULL for the first). NULL keys are a key."""
     cut = _chunked(df, order, width, chunks)
-    by = [F.coalesce(F.col(k).cast("string"), F.lit("\x00null")).alias(f"__g{i}") for i, k in enumerate(keys)]
+    by = [x for i, k in enumerate(keys) for x in (F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"__g{i}"), F.col(k).isNull().alias(f"__n{i}"))]
     cut = cut.select("*", *by)
-    g = [f"__g{i}" for i in range(len(keys))]
+    g = [f"__{x}{i}" for i in range(len(keys)) for x in "gn"]
     here = Window.partitionBy(*g, "__chunk").orderBy(F.col(order).asc_nulls_first(), *ties)
     rows = cut.withColumns({f"prev_{v}": F.lag(v).over(here) for v in values} | {"__n": F.row_number().over(here)})
     last = F.max(F.struct(F.col(order).alias("__at"), *(F.col(t).alias(f"__t{i}") for i, t in enumerate(ties)), *(F.col(v).alias(f"__v{i}") for i, v in enumerate(values))))

@@ -71,7 +71,7 @@ SQL: dict[str, tuple[str, str]] = {
     # aggregates
     "agg_count": ("select count(*) as n, count(value) as m, count(case when value > 100 then value end) as k from acts", "SELECT count(*) AS n, count(*) AS m, count(*) AS k FROM events"),
     "agg_sum": ("select sum(origin) as s, sum(1) as n, round(sum(value), 4) as v from acts", "SELECT CAST(sum(user_id) AS BIGINT) AS s, count(*) AS n, round(sum(value), 4) AS v FROM events"),
-    "agg_prod": ("select origin, round(log(prod(1.0 + value / 1000)), 6) as p from acts where value is not null group by origin", "SELECT user_id AS origin, round(ln(product(1.0 + value / 1000)), 6) AS p FROM events GROUP BY 1"),
+    "agg_prod": ("select origin, round(log(prod(case when value > 20 then 1.0 + value / 1000 end)), 6) as p from acts group by origin", "SELECT user_id AS origin, round(ln(product(CASE WHEN value > 20 THEN 1.0 + value / 1000 END)), 6) AS p FROM events GROUP BY 1"),
     "agg_max": ("select max(value) as v, max(stamp) as t from acts", "SELECT max(value) AS v, max(ts) AS t FROM events"),
     "agg_min": ("select min(value) as v, min(stamp) as t from acts", "SELECT min(value) AS v, min(ts) AS t FROM events"),
     "agg_spread": ("select round(spread(value), 9) as v, spread(origin) as o from acts", "SELECT round(max(value) - min(value), 9) AS v, max(user_id) - min(user_id) AS o FROM events"),
@@ -110,6 +110,7 @@ SQL: dict[str, tuple[str, str]] = {
     "math_ceil": ("select id, ceil(value) as v from acts", "SELECT event_id AS id, ceil(value)::DOUBLE AS v FROM events"),
     "math_floor": ("select id, floor(value) as v from acts", "SELECT event_id AS id, floor(value)::DOUBLE AS v FROM events"),
     "math_round": ("select id, round(value) as v from acts", "SELECT event_id AS id, round(value)::DOUBLE AS v FROM events"),
+    "math_edges": ("select totext(log(0.0)) as a, totext(log(0.0 - 1.0)) as b, totext(asin(2.0)) as c, totext(acos(2.0)) as d, totext(acosh(0.0)) as e, totext(atanh(2.0)) as f, totext(atanh(1.0)) as g, 2.0 ^ 0.5 > 1.4142 as h", "SELECT '-Infinity' AS a, 'NaN' AS b, 'NaN' AS c, 'NaN' AS d, 'NaN' AS e, 'NaN' AS f, 'Infinity' AS g, true AS h"),
     "math_pi": ("select round(pi(), 12) as v", "SELECT round(pi(), 12) AS v"),
     "math_e": ("select round(e(), 12) as v", "SELECT round(exp(1), 12) AS v"),
     # conversions
@@ -143,7 +144,7 @@ SQL: dict[str, tuple[str, str]] = {
 }
 for _f in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "acosh", "atanh"):
     _arg = {"asin": ("value / 1000", "value / 1000"), "acos": ("value / 1000", "value / 1000"), "atanh": ("value / 1000", "value / 1000"), "acosh": ("1 + value / 100", "1 + value / 100"), "sinh": ("value / 100", "value / 100"), "cosh": ("value / 100", "value / 100")}.get(_f, ("value", "value"))
-    SQL[f"math_{_f}"] = (f"select id, round({_f}({_arg[0]}), 6) as v from acts where value < 900", f"SELECT event_id AS id, round({_f}({_arg[1]}), 6) AS v FROM events WHERE value < 900")
+    SQL[f"math_{_f}"] = (f"select id, round({_f}({_arg[0]}), 6) as v from acts", f"SELECT event_id AS id, round({_f}({_arg[1]}), 6) AS v FROM events")
 
 
 def _text(sql: str) -> Callable[[SparkSession, str], DataFrame]:

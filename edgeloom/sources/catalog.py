@@ -152,5 +152,15 @@ class Files:
     def rename(self, a: str, b: str) -> None:
         self.fs.rename(self._path(a), self._path(b))
 
+    def move_files(self, source: str, target: str) -> None:
+        """Moves data files with their folders' names; their own names are unique."""
+        for s in self.fs.listStatus(self._path(source)):
+            name = s.getPath().getName()
+            if s.isDirectory():
+                self.move_files(f"{source}/{name}", f"{target}/{name}")
+            elif not name.startswith(("_", ".")):
+                self.fs.mkdirs(self._path(target))
+                self.rename(f"{source}/{name}", f"{target}/{name}")
+
     def folders(self, path: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(path)) if s.isDirectory()) if self.exists(path) else []

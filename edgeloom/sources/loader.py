@@ -58,21 +58,18 @@ def converted(text: Column, kind: str) -> Column:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """value, line (from 1). Only the number of lines in each input split comes to the driver."""
+    """value, line (from 1). The numbers of lines in the input splits are summed up and joined; the table has a row a split."""
     lines = lines.select("value", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
-    before, starts = 0, []
-    for pid, n in sorted((r[0], r[1]) for r in lines.groupBy("pid").count().collect()):
-        starts += [F.lit(pid), F.lit(before).cast("bigint")]
-        before += n
-    offset = F.element_at(F.create_map(*starts), F.col("pid")) if starts else F.lit(0).cast("bigint")
-    return lines.select("value", (F.col("k") + offset + 1).alias("line"))
+    before = F.sum("count").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
+    starts = lines.groupBy("pid").count().select("pid", F.coalesce(before, F.lit(0)).alias("start"))
+    return lines.join(starts, "pid").select("value", (F.col("k") + F.col("start") + 1).alias("line"))
 
 
 def typed(lines: DataFrame, table: Table, columns: list[str], skip: int, sep: str) -> DataFrame:
-    """The table's columns, line, value, and reason (NULL for good rows)."""
+    """The table's columns, __line, __text, and __reason (NULL for good rows)."""
     parts = F.from_csv(F.col("value"), F.lit(", ".join(f"f{i} string" for i in range(len(columns) + 1))), {"sep": sep, "nullValue": "\x00", "emptyValue": "", "escape": "\x00"})
-    rows = lines.filter((F.col("line") > skip) & (F.trim("value") != "")).select("value", "line", parts.alias("f"))
-    rows = rows.select("value", "line", *(F.when(F.col(f"f.f{i}") == "", None).otherwise(F.col(f"f.f{i}")).alias(f"f{i}") for i in range(len(columns) + 1)))
+    rows = lines.filter((F.col("line") > skip) & (F.trim("value") != "")).select(F.col("value").alias("__text"), F.col("line").alias("__line"), parts.alias("f"))
+    rows = rows.select("__text", "__line", *(F.when(F.col(f"f.f{i}") == "", None).otherwise(F.col(f"f.f{i}")).alias(f"f{i}") for i in range(len(columns) + 1)))
     reason, values = F.when(F.col(f"f{len(columns)}").isNotNull(), F.lit("too many fields")), {}
     for i, name in enumerate(columns):
         p, text = table.find(name), F.col(f"f{i}")
@@ -82,7 +79,7 @@ def typed(lines: DataFrame, table: Table, columns: list[str], skip: int, sep: st
         if must:
             reason = reason.when(text.isNull(), F.lit(f"{name} is missing"))
     missing = [F.lit(None).cast(p_type).alias(n) for n, p_type in ((f.name, f.dataType) for f in table.schema.fields) if n not in columns]
-    return rows.select("value", "line", *values.values(), *missing, reason.alias("reason"))
+    return rows.select("__text", "__line", *values.values(), *missing, reason.alias("__reason"))
 
 
 def load(files: Files, base: str, catalog: Catalog, table: Table, source: str, header: str | None, errors_to: str | None = None, sep: str = ";") -> Report:
@@ -104,21 +101,21 @@ def load(files: Files, base: str, catalog: Catalog, table: Table, source: str, h
             raise errors.LoaderError(f"{p.name} is not in the file")
     if table.pk:  # unique in the file (the first line counts) and in the table
         pk = table.pk.name
-        good = F.col("reason").isNull()
-        order = Window.partitionBy(F.when(good, F.col(pk)), F.when(~good, F.col("line"))).orderBy("line")
-        rows = rows.withColumn("reason", F.when(good & (F.row_number().over(order) > 1), F.lit(f"duplicate key in {pk}")).otherwise(F.col("reason")))
+        good = F.col("__reason").isNull()
+        order = Window.partitionBy(F.when(good, F.col(pk)), F.when(~good, F.col("__line"))).orderBy("__line")
+        rows = rows.withColumn("__reason", F.when(good & (F.row_number().over(order) > 1), F.lit(f"duplicate key in {pk}")).otherwise(F.col("__reason")))
         there = tables.read(files, base, table).select(F.col(pk).alias("__there")).distinct()
         rows = rows.join(there, F.col(pk) == F.col("__there"), "left")
-        rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("__there").isNotNull(), F.lit(f"duplicate key in {pk}")).otherwise(F.col("reason"))).drop("__there")
+        rows = rows.withColumn("__reason", F.when(F.col("__reason").isNull() & F.col("__there").isNotNull(), F.lit(f"duplicate key in {pk}")).otherwise(F.col("__reason"))).drop("__there")
     # one pass over the text for good and bad rows: typed rows are written once, and read back for both
     aside = f"{base}/_load-{int(began * 1e6)}"
     try:
         rows.write.parquet(aside)
         done = files.spark.read.schema(rows.schema).parquet(aside)
-        counts = done.agg(F.count(F.when(F.col("reason").isNull(), 1)), F.count("reason")).first()
-        tables.append(files, base, catalog, table, done.filter("reason is null"))
+        counts = done.agg(F.count(F.when(F.col("__reason").isNull(), 1)), F.count("__reason")).first()
+        tables.append(files, base, catalog, table, done.filter("__reason is null"))
         if errors_to:
-            done.filter("reason is not null").select(F.concat_ws(": ", F.concat(F.lit("line "), F.col("line").cast("string")), "reason", "value").alias("value")).write.mode("overwrite").text(errors_to)
+            done.filter("__reason is not null").select(F.concat_ws(": ", F.concat(F.lit("line "), F.col("__line").cast("string")), "__reason", "__text").alias("value")).write.mode("overwrite").text(errors_to)
     finally:
         files.remove(aside)
     return Report(counts[0], counts[1], int((time.time() - began) * 1e6))

@@ -65,6 +65,21 @@ def replace(files: Files, base: str, catalog: Catalog, table: Table, rows: DataF
     files.remove(old)
 
 
+def replace_periods(files: Files, base: str, catalog: Catalog, table: Table, gone: list[int], rows: DataFrame, rewritten: list[int]) -> None:
+    """Copy on write, for some periods of a stamped edge only: folders of `gone` are removed, those of `rewritten` get these rows instead."""
+    target = path(base, table)
+    aside = f"{base}/_new-{table.name}-{uuid.uuid4().hex[:8]}"
+    if rewritten:
+        append(files, base, catalog, table, rows, "overwrite", aside)
+    for k in [*gone, *rewritten]:
+        folder = f"{PERIOD}={k}"
+        files.rename(f"{target}/{folder}", f"{aside}-old-{k}")
+        if k in rewritten:
+            files.rename(f"{aside}/{folder}", f"{target}/{folder}")
+        files.remove(f"{aside}-old-{k}")
+    files.remove(aside)
+
+
 def bounds(e, stamp: str) -> tuple[int, int]:
     """Least and greatest stamp that a condition can let through."""
     low, high = types.DAWN, types.DUSK

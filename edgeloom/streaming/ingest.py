@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,11 +10,13 @@ from ..session import Session
 from ..sources import loader, tables
 
 
-def load_stream(session: Session, folder: str, name: str, checkpoint: str, columns: list[str] | None = None, sep: str = ";", errors_to: str | None = None) -> StreamingQuery:
+def load_stream(session: Session, folder: str, name: str, checkpoint: str, columns: list[str] | None = None, sep: str = ";", errors_to: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Appends each new file of the folder to the table, batch by batch; fields in `columns`' order, no header.
 
-    A batch that runs again after a failure would repeat an edge's rows, so each batch goes to the table through a
-    folder named by its number, and a batch whose mark is there is skipped. Keys of types are checked against the table.
+    A batch is written to a folder named by its number and its files are then moved to the table. A batch that runs again
+    after a failure moves what isn't moved yet, or does nothing if its mark is there, so no row comes twice. Keys of types
+    are checked against the table; rows that repeat one go to the errors with those that can't be read. trigger: as of
+    writeStream.trigger (default: what is there now, then stop).
     """
     table = session._current().table(name)
     columns = columns or [p.name for p in table.properties]
@@ -24,18 +26,27 @@ def load_stream(session: Session, folder: str, name: str, checkpoint: str, colum
         mark = f"{checkpoint}/loaded/{number}"
         if session.files.exists(mark):
             return
-        rows = loader.typed(df.select("value", F.lit(1).cast("bigint").alias("line")), table, columns, 0, sep).persist()
-        good = rows.filter("reason is null")
-        if table.pk:
-            pk = table.pk.name
-            good = good.dropDuplicates([pk]).join(tables.read(session.files, session._base, table).select(pk), pk, "left_anti")
-        tables.append(session.files, session._base, session._current(), table, good)
-        if errors_to:
-            rows.filter("reason is not null").select(F.concat_ws(": ", "reason", "value").alias("value")).write.mode("append").text(errors_to)
-        rows.unpersist()
+        aside, typed = f"{checkpoint}/batch-{number}", f"{checkpoint}/typed-{number}"
+        if not session.files.exists(f"{aside}/_SUCCESS"):
+            rows = loader.typed(df.select("value", F.lit(1).cast("bigint").alias("line")), table, columns, 0, sep)
+            if table.pk:
+                pk = table.pk.name
+                there = tables.read(session.files, session._base, table).select(F.col(pk).alias("__there")).distinct()
+                first = F.row_number().over(Window.partitionBy(pk, F.col("__reason").isNull(), F.when(F.col("__reason").isNotNull(), F.monotonically_increasing_id())).orderBy("__text"))
+                rows = rows.withColumn("__n", first).join(there, F.col(pk) == F.col("__there"), "left")
+                again = F.col("__reason").isNull() & (F.col("__there").isNotNull() | (F.col("__n") > 1))
+                rows = rows.withColumn("__reason", F.when(again, F.lit(f"duplicate key in {pk}")).otherwise(F.col("__reason"))).drop("__there", "__n")
+            rows.write.mode("overwrite").parquet(typed)
+            rows = session.spark.read.schema(rows.schema).parquet(typed)
+            if errors_to:
+                rows.filter("__reason is not null").select(F.concat_ws(": ", "__reason", "__text").alias("value")).write.mode("overwrite").text(f"{errors_to}/batch-{number}")
+            tables.append(session.files, session._base, session._current(), table, rows.filter("__reason is null"), "overwrite", aside)
+        session.files.move_files(aside, tables.path(session._base, table))
         session.files.write(mark, "")
+        session.files.remove(aside)
+        session.files.remove(typed)
 
-    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def windowed(stream: DataFrame, stamp: str, length: str, late: str, keys: list[str], aggregates: dict[str, Column], slide: str | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from edgeloom import queries
+from edgeloom import queries, statements
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,17 @@ def test_query(spark, sf_dir, con, name):
     assert oracle.rows_of(queries.QUERIES[name](spark, sf_dir)) == oracle.rows_duck(con, queries.ORACLE_SQL[name])
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", list(statements.QUERIES))
+def test_statements(spark, sf_dir, con, name):
+    out = statements.QUERIES[name](spark, sf_dir)
+    assert oracle.rows_of(out) == oracle.rows_duck(con, statements.ORACLE_SQL[name])
+    rel = con.sql(statements.ORACLE_SQL[name])
+    assert {c: KINDS[t] for c, t in out.dtypes} == dict(zip(rel.columns, map(str, rel.types), strict=True))
+
+
 def test_types(spark, sf_dir, con):
     kinds = {"int64": "BIGINT", "int32": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "bool": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     kinds |= {"bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN"}
