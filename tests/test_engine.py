@@ -266,3 +266,66 @@ def test_random_conditions(spark, sf_dir):
     for _ in range(12):
         ours, theirs = condition(3)
         assert session.sql(f"select count(*) as n from acts where {ours}").first()[0] == con.sql(f"SELECT count(*) FROM events WHERE {theirs}").fetchall()[0][0], ours
+
+
+def test_changes_touch_only_their_periods(spark, tmp_path):
+    """Folders of untouched periods keep their files; a wholly deleted period has none; an update of the stamp moves rows."""
+    with Session(spark, f"file://{tmp_path}") as s:
+        s.execute("create scope a; use a; create type p (k uint pk); create edge e (origin p origin, destin p destin, stamp time stamp, n int)")
+        s.append("e", spark.range(400).selectExpr("id as origin", f"id % 7 as destin", f"id * {types.DAY} as stamp", "id as n"))
+        files = lambda: {f.parent.name: f.name for f in (tmp_path / "a" / "e").rglob("*.parquet")}
+        before = files()
+        assert s.execute(f"delete from e where stamp < {28 * types.DAY}").report.affected == 28
+        assert "_period=0" not in files() and {k: v for k, v in before.items() if k != "_period=0"} == files()
+        assert s.execute("update e set n = 0 where origin = 100").report.affected == 1
+        assert sum(before[k] != v for k, v in files().items()) == 1 and s.one_value("select n from e where origin = 100") == 0
+        assert s.execute(f"update e set stamp = {types.DAY} where origin = 399").report.affected == 1
+        assert s.one_value(f"select count(*) from e where stamp < {28 * types.DAY}") == 1
+        assert s.one_value("select count(*) from e") == 372
+
+
+def test_many_inserts_look_keys_up_once(spark, tmp_path):
+    with Session(spark, f"file://{tmp_path}") as s:
+        s.execute("create scope a; use a; create type p (k uint pk, t text)")
+        s.execute("".join(f"insert into p values ({i}, 'x');" for i in range(30)))
+        s.flush()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+        spark.sparkContext.setJobGroup("inserts", "inserts")
+        s.execute("".join(f"insert into p values ({i}, 'x');" for i in range(40, 70)))
+        assert len(jobs("inserts")) <= 2
+        spark.sparkContext.setJobGroup(None, None)
+        for bad in ("insert into p values (5, 'x')", "insert into p values (80, 'x'); insert into p values (5, 'x')", "insert into p values (81, 'x'); insert into p values (81, 'y')"):
+            with pytest.raises(errors.DuplicateKeyError):
+                s.execute(bad)
+        assert s.one_value("select count(*) from p") == 62
+
+
+def test_a_stream_batch_that_runs_again(spark, tmp_path, monkeypatch):
+    """A failure after the files were moved, before the mark: the batch adds nothing the second time. Repeated keys are reported."""
+    from edgeloom.sources.catalog import Files
+    from edgeloom.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("1;2;5;a\n2;3;6;b\nbad;4;7;c\n")
+    (tmp_path / "keys").mkdir()
+    (tmp_path / "keys" / "a.csv").write_text("1;x\n2;y\n1;z\nbad;w\n")
+    with Session(spark, f"file://{tmp_path}/base") as s:
+        s.execute("create scope a; use a; create type p (k uint pk, value text); create edge e (origin p origin, destin p destin, stamp time stamp, line text)")
+        start = lambda folder, name: ingest.load_stream(s, f"file://{tmp_path}/{folder}", name, f"file://{tmp_path}/c{name}", errors_to=f"file://{tmp_path}/err{name}").awaitTermination()
+        write = Files.write
+
+        def failing(self, path, text):
+            if "/loaded/" in path:
+                raise OSError("gone")
+            write(self, path, text)
+
+        monkeypatch.setattr(Files, "write", failing)
+        with pytest.raises(Exception, match="gone"):
+            start("in", "e")
+        monkeypatch.setattr(Files, "write", write)
+        assert s.one_value("select count(*) from e") == 2
+        start("in", "e")
+        assert sorted(s.execute("select origin, destin, line from e")) == [(1, 2, "a"), (2, 3, "b")]
+        start("keys", "p")
+        assert len(list(s.execute("select k, value from p"))) == 2
+        assert sorted(x.split(":")[0] for f in (tmp_path / "errp").rglob("part*") for x in f.read_text().splitlines()) == ["duplicate key in k", "k is not a uint"]

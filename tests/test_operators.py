@@ -78,3 +78,18 @@ def test_windows_over_a_stream(spark, sf_dir, tmp_path):
     q = out.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path)).start()
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == spark.read.parquet(path).count()
+
+
+def test_chunks_are_even_with_outliers(spark):
+    """Outlying stamps, a key of that text and a NULL key; most rows within one second."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", None, "\x00null", ""]), rng.randrange(10**9), i) for i in range(3000)] + [("a", -(2**62), 3000), ("a", 2**62, 3001)]
+    df = spark.createDataFrame(rows, "k string, at long, id long")
+    sizes = [r["count"] for r in timeseries._chunked(df, "at", None, 64).groupBy("__chunk").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 150
+    got = {r["id"]: r["prev_id"] for r in timeseries.previous(df, ["k"], "at", ["id"], ["id"]).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = sorted((at, i) for x, at, i in rows if x == k)
+        want |= {b[1]: a[1] if a else None for a, b in zip([None, *own], own, strict=False)}
+    assert got == want
