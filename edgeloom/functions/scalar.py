@@ -107,6 +107,12 @@ def _to_text(x: Typed) -> Typed:
     return Typed((x.ts if x.ts is not None else x.col).cast("string"), "text")
 
 
+def _bits(x: Typed) -> Column:
+    if x.kind not in ("int", "uint"):
+        raise errors.TypeMismatchError(f"an int is needed, not {x.kind}")
+    return x.col.cast("bigint")
+
+
 def _text(*xs: Typed) -> list[Column]:
     for x in xs:
         if x.kind not in ("text", "nothing"):
@@ -130,6 +136,13 @@ FUNCTIONS: dict[str, tuple[int, int | None, Callable[..., Typed]]] = {
     "floor": (1, 1, _float(lambda x: F.floor(x).cast("double"))),
     "round": (1, 2, _round),
     **{n: (1, 1, _float(getattr(F, n))) for n in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "acosh", "atanh")},
+    "root": (2, 2, lambda x, n: Typed(F.pow(plain(x, "float"), F.lit(1.0) / plain(n, "float")), "float")),
+    "bitand": (2, 2, lambda a, b: Typed(_bits(a).bitwiseAND(_bits(b)), "int")),
+    "bitor": (2, 2, lambda a, b: Typed(_bits(a).bitwiseOR(_bits(b)), "int")),
+    "bitxor": (2, 2, lambda a, b: Typed(_bits(a).bitwiseXOR(_bits(b)), "int")),
+    "bitnot": (1, 1, lambda a: Typed(F.bitwise_not(_bits(a)), "int")),
+    "shl": (2, 2, lambda a, n: Typed(F.call_function("shiftleft", _bits(a), _bits(n).cast("int")), "int")),
+    "shr": (2, 2, lambda a, n: Typed(F.call_function("shiftright", _bits(a), _bits(n).cast("int")), "int")),
     "pi": (0, 0, _const(F.pi, "float")),
     "e": (0, 0, _const(F.e, "float")),
     "tofloat": (1, 1, _to_float),
@@ -160,7 +173,7 @@ FUNCTIONS: dict[str, tuple[int, int | None, Callable[..., Typed]]] = {
     "substr": (3, 3, lambda s, a, n: Typed(F.substring(_text(s)[0], a.col.cast("int"), n.col.cast("int")), "text")),
     "length": (1, 1, lambda s: Typed(F.length(_text(s)[0]).cast("bigint"), "uint")),
     "strcat": (1, None, lambda *xs: Typed(F.concat(*_text(*xs)), "text")),
-    "pos": (2, 2, lambda s, part: Typed(F.locate(part.const, _text(s)[0]).cast("bigint"), "uint")),
+    "pos": (2, 2, lambda s, part: Typed(F.position(_text(part)[0], _text(s)[0]).cast("bigint"), "uint")),
 }
 
 

@@ -47,6 +47,25 @@ class In:
     negated: bool = False
 
 
+@dataclass(frozen=True)
+class InQuery:
+    a: Any
+    query: Select
+    negated: bool = False
+
+
+@dataclass(frozen=True)
+class Exists:
+    query: Select
+
+
+@dataclass(frozen=True)
+class Scalar:
+    """A query of one column and at most one row, as a value."""
+
+    query: Select
+
+
 @dataclass(frozen=True)
 class IsNull:
     a: Any

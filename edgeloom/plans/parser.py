@@ -325,11 +325,20 @@ class Parser:
             if negated:
                 self.at += 1
             if self.accept("in"):
-                a = ast.In(a, tuple(self.listed(self.expression)), negated)
+                a = ast.InQuery(a, query, negated) if (query := self.subquery()) else ast.In(a, tuple(self.listed(self.expression)), negated)
             else:
                 a = self.between(a)
                 a = ast.Un("not", a) if negated else a
 
+    def subquery(self) -> ast.Select | None:
+        """A query in parentheses, if there is one."""
+        if not (self.peek("(") and self.all[self.at + 1].low == "select"):
+            return None
+        self.expect("(")
+        q = self.select()
+        self.expect(")")
+        return q
+
     def between(self, a):
         """BETWEEN x AND y, or an interval: [ ] with the ends, ] [ without."""
         self.expect("between")
@@ -377,6 +386,8 @@ class Parser:
         if t.kind == "text":
             self.at += 1
             return ast.Lit(t.text)
+        if query := self.subquery():
+            return ast.Scalar(query)
         if self.accept("("):
             e = self.expression()
             self.expect(")")
@@ -388,6 +399,9 @@ class Parser:
             return ast.Lit({"true": True, "false": False, "null": None}[word])
         if word == "case":
             return self.case()
+        if word == "exists" and self.all[self.at + 1].low == "(" and self.all[self.at + 2].low == "select":
+            self.at += 1
+            return ast.Exists(self.subquery())
         if word in STOP:
             raise self.error("an expression")
         name = self.name()

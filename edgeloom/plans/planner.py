@@ -66,16 +66,19 @@ def children(e) -> list:
         return [e.a]
     if isinstance(e, ast.In):
         return [e.a, *e.values]
+    if isinstance(e, ast.InQuery):
+        return [e.a]
     if isinstance(e, ast.Case):
         return [x for w in e.whens for x in w] + [e.other]
     return list(e.args) if isinstance(e, ast.Call) else []
 
 
 class Compiler:
-    """given: trees whose value is known already (group keys). bare: what a field outside of aggregates and keys becomes."""
+    """given: trees whose value is known already (group keys). bare: what a field outside of aggregates and keys becomes.
+    subquery: plans a query within an expression."""
 
-    def __init__(self, scope: Scope, given: dict | None = None, bare: Callable[[Typed], Typed] | None = None, empty_zero: bool = False):
-        self.scope, self.given, self.bare, self.empty_zero = scope, given or {}, bare, empty_zero
+    def __init__(self, scope: Scope, given: dict | None = None, bare: Callable[[Typed], Typed] | None = None, empty_zero: bool = False, subquery: Callable[[ast.Select], DataFrame] | None = None):
+        self.scope, self.given, self.bare, self.empty_zero, self.subquery = scope, given or {}, bare, empty_zero, subquery
 
     def __call__(self, e) -> Typed:
         if e in self.given:
@@ -100,6 +103,8 @@ class Compiler:
         if isinstance(e, ast.In):
             x = typed.is_in(self(e.a), [self(v) for v in e.values])
             return Typed(~x.col, "bool") if e.negated else x
+        if isinstance(e, (ast.InQuery, ast.Exists, ast.Scalar)):
+            return self._query(e)
         if isinstance(e, ast.IsNull):
             x = self(e.a)
             c = x.ts if x.ts is not None else x.col
@@ -119,6 +124,28 @@ class Compiler:
             return aggregates.aggregate(e.name, inner(e.args[0]) if e.args else None, e.distinct, self.empty_zero)
         return scalar.call(e.name, [self(a) for a in e.args])
 
+    def _query(self, e: ast.InQuery | ast.Exists | ast.Scalar) -> Typed:
+        """Spark plans these as semi, anti and single-row joins, with SQL's rules for NULL."""
+        if self.subquery is None:
+            raise errors.NotSupportedError("a query within this expression")
+        df = self.subquery(e.query)
+        if isinstance(e, ast.Exists):
+            return Typed(df.exists(), "bool")
+        if len(df.columns) != 1:
+            raise errors.InvalidError("a query within an expression has one column")
+        dtype = df.schema[0].dataType
+        kind, clock = types.kind_of(dtype), dtype.typeName() in ("timestamp_ntz", "timestamp", "date")
+        if isinstance(e, ast.Scalar):
+            return typed.from_ntz(df.scalar().cast("timestamp_ntz")) if clock else Typed(df.scalar(), kind)
+        x = self(e.a)
+        if x.kind == "text" and kind == "time":
+            x = typed.as_time(x)
+        if (common := typed.common_kind(x.kind, kind)) is None:
+            raise errors.TypeMismatchError(f"types differ: {x.kind} and {kind}")
+        values = typed.ns_of(F.col(df.columns[0]).cast("timestamp_ntz")) if clock else F.col(df.columns[0]).cast(types.STORED[common])
+        found = typed.plain(x, common).isin(df.select(values.alias("v")))
+        return Typed(~found if e.negated else found, "bool")
+
     def _integral(self, e: ast.Call, inner: Compiler) -> Typed:
         raise errors.NotSupportedError("integral(x, y) stands alone in a query of its keys")
 
@@ -164,7 +191,7 @@ def plan(spark: SparkSession, q: ast.Select, relation: Callable[[str], Relation]
         relations.append((j.alias or j.table, other))
         df = df.join(other.df.alias(f"t{k}"), F.col(f"t0.`{j.on}`") == F.col(f"t{k}.`{other.pk}`"), j.how)
     scope = Scope(relations)
-    rows = Compiler(scope)
+    rows = Compiler(scope, subquery=lambda inner: plan(spark, inner, relation, strict, empty_zero))
     if q.where is not None:
         if has_aggregate(q.where):
             raise errors.InvalidError("aggregates are not allowed in WHERE")

@@ -66,6 +66,10 @@ SQL: dict[str, tuple[str, str]] = {
     "case_noelse": ("select id, case when value < 20 then value end as low from acts", "SELECT event_id AS id, CASE WHEN value < 20 THEN value END AS low FROM events"),
     "case_widened": ("select id, case when value < 20 then 1 else value end as v from acts", "SELECT event_id AS id, CASE WHEN value < 20 THEN 1.0::DOUBLE ELSE value END AS v FROM events"),
     "coalesce": ("select id, coalesce(case when value > 50 then value end, 0.5) as v from acts", "SELECT event_id AS id, coalesce(CASE WHEN value > 50 THEN value END, 0.5::DOUBLE) AS v FROM events"),
+    "in_query": ("select origin, total from places where origin in (select client_key from client where balance > 5000)", "SELECT o_custkey AS origin, o_totalprice AS total FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)"),
+    "not_in_query": ("select client_key from client where client_key not in (select origin from places where total > 1000)", "SELECT c_custkey AS client_key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 1000)"),
+    "exists_query": ("select count(*) as n from client where exists (select 1 from places where total < 0) or exists (select 1 from region)", "SELECT count(*) AS n FROM customer"),
+    "scalar_query": ("select id, value from acts where value > (select avg(value) from acts) and stamp <= (select max(stamp) from acts)", "SELECT event_id AS id, value FROM events WHERE value > (SELECT avg(value) FROM events)"),
     "between": ("select id from acts where value between 10 and 20", "SELECT event_id AS id FROM events WHERE value BETWEEN 10 AND 20"),
     "between_open": ("select id from acts where value between ]10, 20]", "SELECT event_id AS id FROM events WHERE value > 10 AND value <= 20"),
     # aggregates
@@ -111,6 +115,8 @@ SQL: dict[str, tuple[str, str]] = {
     "math_floor": ("select id, floor(value) as v from acts", "SELECT event_id AS id, floor(value)::DOUBLE AS v FROM events"),
     "math_round": ("select id, round(value) as v from acts", "SELECT event_id AS id, round(value)::DOUBLE AS v FROM events"),
     "math_edges": ("select totext(log(0.0)) as a, totext(log(0.0 - 1.0)) as b, totext(asin(2.0)) as c, totext(acos(2.0)) as d, totext(acosh(0.0)) as e, totext(atanh(2.0)) as f, totext(atanh(1.0)) as g, 2.0 ^ 0.5 > 1.4142 as h", "SELECT '-Infinity' AS a, 'NaN' AS b, 'NaN' AS c, 'NaN' AS d, 'NaN' AS e, 'NaN' AS f, 'Infinity' AS g, true AS h"),
+    "math_root": ("select id, round(root(value, 3), 6) as v from acts", "SELECT event_id AS id, round(pow(value, 1.0 / 3), 6) AS v FROM events"),
+    "bitwise": ("select id, bitand(id, 12) as a, bitor(id, 5) as b, bitxor(id, 3) as c, bitnot(id) as d, shl(id, 3) as e, shr(id, 1) as f from acts", "SELECT event_id AS id, event_id & 12 AS a, event_id | 5 AS b, xor(event_id, 3) AS c, ~event_id AS d, event_id * 8 AS e, event_id >> 1 AS f FROM events"),
     "math_pi": ("select round(pi(), 12) as v", "SELECT round(pi(), 12) AS v"),
     "math_e": ("select round(e(), 12) as v", "SELECT round(exp(1), 12) AS v"),
     # conversions
@@ -135,6 +141,7 @@ SQL: dict[str, tuple[str, str]] = {
     "bucket_hour": ("select stamp/3600000000000 as h, count(*) as n, round(sum(value), 4) as s from acts group by h", f"SELECT {NS} // 3600000000000 AS h, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY 1"),
     # text
     "text_functions": ("select client_key as k, substr(client_name, 1, 4) as a, length(client_name) as n, strcat(segment, '-', client_name) as c, pos(client_name, '#') as p from client", "SELECT c_custkey AS k, substr(c_name, 1, 4) AS a, length(c_name) AS n, c_mktsegment || '-' || c_name AS c, instr(c_name, '#') AS p FROM customer"),
+    "text_pos_column": ("select client_key as k, pos(strcat(client_name, segment), segment) as p from client", "SELECT c_custkey AS k, instr(c_name || c_mktsegment, c_mktsegment) AS p FROM customer"),
     "text_escapes": (r"select 'it\'s\n\\' as t", r"SELECT 'it''s' || chr(10) || '\' AS t"),
     # idioms
     "top3_revenue": ("select origin, round(sum(price), 2) as revenue from ships where stamp >= '1997-01-01' and stamp < '1998-01-01' group by origin order by revenue desc, origin limit 3", "SELECT l_suppkey AS origin, round(sum(l_extendedprice), 2) AS revenue FROM lineitem WHERE l_shipdate >= '1997-01-01' AND l_shipdate < '1998-01-01' GROUP BY 1 ORDER BY revenue DESC, origin LIMIT 3"),

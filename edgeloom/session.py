@@ -350,6 +350,21 @@ class Session:
         tables.append(self.files, self._base, self._current(), table, rows)
         return checks["n"]
 
+    def dump(self, query: str, path: str, form: str = "csv", sep: str = ";") -> None:
+        """A query's rows as files that LOAD (csv) or load_json takes, or as Parquet. Times are written with nanoseconds."""
+        df = self.sql(query)
+        columns = [F.unix_micros(F.col(f.name).cast("timestamp")) * 1000 if f.dataType.typeName() in ("timestamp_ntz", "timestamp", "date") else F.col(f.name) for f in df.schema]
+        if form == "csv":
+            escaped = [F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")) if f.dataType.typeName() == "string" else c for c, f in zip(columns, df.schema, strict=True)]
+            df.select(F.concat_ws(sep, *(F.coalesce(c.cast("string"), F.lit("")) for c in escaped))).write.text(path)
+        else:
+            df.select(*(c.alias(n) for c, n in zip(columns, df.columns, strict=True))).write.format(form).save(path)
+
+    def load_json(self, path: str, name: str) -> int:
+        """Appends files of JSON lines; fields by name. Rows that aren't right refuse them all, as with any append."""
+        table = self._current().table(name)
+        return self.append(name, self.spark.read.schema(table.schema).json(path))
+
     def _do_load(self, s: ast.Statement) -> Result:
         self.flush(s.name)
         table = self._current().table(s.name)

@@ -167,6 +167,23 @@ def stored_load_kinds(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame
     return s.sql("select k, t, f, i, b, at is not null as known, nano(at) as n from item where nothing is null")
 
 
+@query("SELECT user_id AS origin, event_type AS destin, epoch_ns(ts) AS ns, event_id AS id, value FROM events")
+def dump_and_load(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's rows written as text, and loaded."""
+    s.execute(ACTS)
+    s.dump("select origin, destin, stamp, id, value from acts", f"{s.files.base}/dump")
+    s.execute(f"load '{s.files.base}/dump' into did")
+    return s.sql("select origin, destin, stamp + 0 as ns, id, value from did")
+
+
+@query("SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance FROM customer")
+def dump_and_load_json(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame:
+    s.execute("create type copy (k uint pk, name text, balance float)")
+    s.dump("select client_key as k, client_name as name, balance from client", f"{s.files.base}/dump", "json")
+    s.load_json(f"{s.files.base}/dump", "copy")
+    return s.sql("select k, name, balance from copy")
+
+
 # reading
 @query("SELECT event_id AS id FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-12'")
 def stored_period(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame:
