@@ -1,4 +1,5 @@
-"""Aggregates by name. All but median and mode combine partial results before the shuffle in constant space."""
+"""Aggregates by name. All but median and mode combine partial results before the shuffle in constant space; a median or mode
+that is an item of a query of its own is planned apart (operators/ranks.py), and comes here only within other expressions."""
 
 from __future__ import annotations
 

@@ -16,12 +16,12 @@ from ..functions.typed import div
 CHUNKS = 256
 
 
-def _place(at: Column, cuts: list[float], first: int = 0) -> Column:
+def place(at: Column, cuts: list[float], first: int = 0) -> Column:
     """How many of the ascending cuts are at most `at`, by halving."""
     if not cuts:
         return F.lit(first)
     k = len(cuts) // 2
-    return F.when(at < F.lit(cuts[k]), _place(at, cuts[:k], first)).otherwise(_place(at, cuts[k + 1 :], first + k + 1))
+    return F.when(at < F.lit(cuts[k]), place(at, cuts[:k], first)).otherwise(place(at, cuts[k + 1 :], first + k + 1))
 
 
 def _chunked(df: DataFrame, order: str, width: int | None, chunks: int) -> DataFrame:
@@ -31,7 +31,7 @@ def _chunked(df: DataFrame, order: str, width: int | None, chunks: int) -> DataF
         return df.withColumn("__chunk", F.floor(at / width).cast("long"))
     found = df.agg(F.percentile_approx(order, [i / chunks for i in range(1, chunks)], 20 * chunks)).first()[0]
     cuts = sorted(set(found or []))
-    return df.withColumn("__chunk", F.when(at.isNull(), F.lit(-1)).otherwise(_place(at, cuts)).cast("long"))
+    return df.withColumn("__chunk", F.when(at.isNull(), F.lit(-1)).otherwise(place(at, cuts)).cast("long"))
 
 
 def previous(df: DataFrame, keys: list[str], order: str, values: list[str], ties: list[str] = (), width: int | None = None, chunks: int = CHUNKS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import errors, types
 from ..functions import aggregates, scalar, typed
 from ..functions.typed import Typed
-from ..operators import timeseries
+from ..operators import ranks, timeseries
 from . import ast
 
 
@@ -247,12 +247,15 @@ def plan(spark: SparkSession, q: ast.Select, relation: Callable[[str], Relation]
         return Typed(F.first(x.col, True), x.kind, F.first(x.ts, True) if x.ts is not None else None)
 
     over = Compiler(scope, given, bare, empty_zero)
-    outs = {f"__o{i}": output(over(item.expr)) for i, item in enumerate(items)}
+    apart = {i: item.expr for i, item in enumerate(items) if isinstance(item.expr, ast.Call) and item.expr.name in ("median", "mode") and len(item.expr.args) == 1 and not item.expr.distinct and not any(map(has_aggregate, item.expr.args))}
+    outs = {f"__o{i}": output(over(item.expr)) for i, item in enumerate(items) if i not in apart}
     outs |= {f"__s{i}": output(over(e)) for i, (e, _) in enumerate(terms)}
     if q.having is not None:
         outs["__h"] = typed.boolean(over(q.having), "HAVING")
     if q.group and not any(has_aggregate(x) for x in [*(i.expr for i in items), *(e for e, _ in terms), q.having]):
         df = df.select(*(f"__k{i}" for i in range(len(keys)))).distinct().select(*(c.alias(n) for n, c in outs.items()))
+    elif apart:
+        df = with_ranks(df, [f"__k{i}" for i in range(len(keys))], outs, {f"__o{i}": (e.name, rows(e.args[0])) for i, e in apart.items()}, empty_zero)
     else:
         df = df.groupBy(*(f"__k{i}" for i in range(len(keys)))).agg(*(c.alias(n) for n, c in outs.items()))
     if q.having is not None:
@@ -263,6 +266,23 @@ def plan(spark: SparkSession, q: ast.Select, relation: Callable[[str], Relation]
     return df if q.limit is None else df.limit(q.limit)
 
 
+def with_ranks(df: DataFrame, keys: list[str], outs: dict[str, Column], apart: dict[str, tuple[str, Typed]], empty_zero: bool) -> DataFrame:
+    """Groups whose medians and modes are found apart, each in its own passes, and joined by the keys."""
+    out = df.groupBy(*keys).agg(*(c.alias(n) for n, c in outs.items()), F.count(F.lit(1)).alias("__rows"))
+    for name, (what, x) in apart.items():
+        kind = x.kind if what == "mode" else typed.numbers(x, what=what)
+        value = output(x) if what == "mode" else typed.plain(x, kind).cast("double")
+        side = (ranks.mode if what == "mode" else ranks.median)(df.select(*keys, value.alias("__v")), keys, "__v", name)
+        if not keys:  # at most one row
+            out = out.select("*", side.select(name).scalar().alias(name))
+        else:
+            side = side.select(name, *(F.col(k).alias(f"__side{k}") for k in keys))
+            out = out.join(side, [F.col(k).eqNullSafe(F.col(f"__side{k}")) for k in keys], "left").drop(*(f"__side{k}" for k in keys))
+        if what == "median" and empty_zero:
+            out = out.withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out
+
+
 def check_groups(q: ast.Select, items: list[ast.Item], strict: bool) -> None:
     """Strictly, a projection is the keys in their order, then expressions with aggregates."""
     if not strict or not q.group:

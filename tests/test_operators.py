@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from edgeloom.operators import graph, timeseries
+from edgeloom.operators import graph, ranks, timeseries
 from edgeloom.session import Session
 from edgeloom.streaming import ingest
 
@@ -93,3 +93,21 @@ def test_chunks_are_even_with_outliers(spark):
         own = sorted((at, i) for x, at, i in rows if x == k)
         want |= {b[1]: a[1] if a else None for a, b in zip([None, *own], own, strict=False)}
     assert got == want
+
+
+def test_medians_and_modes_of_hot_groups(spark):
+    """Even and odd groups, ties, NULL keys and values, a group without values, one value only."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), rng.choice([None, *range(-20, 20), 1e300, -1e300]), i) for i in range(2001)] + [("none", None, 1), ("one", 3.5, 1)]
+    df = spark.createDataFrame([(k, None if v is None else float(v), i) for k, v, i in rows], "k string, v double, i int")
+    want = {k: sorted(float(v) for x, v, _ in rows if x == k and v is not None) for k in {r[0] for r in rows}}
+    got = {r[0]: r[1] for r in ranks.median(df, ["k"], "v", "m", 16).collect()}
+    assert got == {k: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 for k, v in want.items() if v}
+    got = {r[0]: r[1] for r in ranks.mode(df, ["k"], "v", "m").collect()}
+    assert got == {k: min(v, key=lambda x: (-v.count(x), x)) for k, v in want.items() if v}
+    assert ranks.median(df.filter("v is null"), ["k"], "v", "m").collect() == []
+    s = Session(spark)
+    s.register("t", df, {"k": "k", "v": "v", "i": "i"})
+    out = {r["k"]: (r["m"], r["d"], r["n"]) for r in s.sql("select k, median(v) as m, mode(i) as d, count(*) as n from t group by k").collect()}
+    assert out["none"] == (None, 1, 1) and out["one"] == (3.5, 1, 1) and len(out) == len(want)
+    assert s.sql("select median(v) as m from t where 1 = 0").collect()[0][0] is None
