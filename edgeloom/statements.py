@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cli, dbapi, errors, types
+from . import cli, dbapi, errors, procedures, types
 from .queries import TABLES
 from .session import Session
 from .sources.shared import own_dir
@@ -411,6 +411,36 @@ def exec_refused(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame:
     return refusals(s, spark, ["exec fib(1)", "exec buyers(1)", "exec nothing()", "create procedure m.g() language lua", "drop procedure fib", "exec fib()"])
 
 
+@query("SELECT user_id AS origin, count(*) AS n, round(sum(value), 4) AS sum, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(max(value) - min(value), 9) AS spread FROM events WHERE event_type = 'view' GROUP BY 1")
+def exec_groupbuy(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A procedure that comes with the engine."""
+    s.register_module("own", procedures)
+    s.execute("create procedure own.groupbuy(edge text, field text, destin text) language python")
+    out = s.execute("exec groupbuy('acts', 'value', 'view')").df
+    return out.select("origin", "n", F.round("sum", 4).alias("sum"), F.round("avg", 6).alias("avg"), "min", "max", F.round("spread", 9).alias("spread"))
+
+
+@query("SELECT epoch_ns(ts) AS ns, value FROM events WHERE user_id = 3")
+def exec_gettimeseries(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame:
+    s.register_module("own", procedures)
+    s.execute("create procedure own.gettimeseries(edge text, field text, origin uint) language python")
+    return s.execute("exec gettimeseries('acts', 'value', 3)").df.select((F.unix_micros(F.col("stamp").cast("timestamp")) * 1000).alias("ns"), "value")
+
+
+@query("SELECT user_id AS origin, round(sum(value), 4) AS revenue FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-06' GROUP BY 1 ORDER BY sum(value) DESC, 1 LIMIT 3")
+def exec_revenue(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame:
+    s.register_module("own", procedures)
+    s.execute("create procedure own.revenue(edge text, field text, day time) language python")
+    return s.execute("exec revenue('acts', 'value', '2024-01-05T13:00:00')").df.select("origin", F.round("revenue", 4).alias("revenue"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT), (2, 2), (3, 1), (4, 3)) AS t(i, v)")
+def exec_nextid(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of their own for each name, also from another session."""
+    other = Session(spark, s.files.base, "shop")
+    return rows(spark, [(i, procedures.nextid(x, name)) for i, (x, name) in enumerate([(s, "a"), (other, "a"), (s, "b"), (s, "a")], 1)], "i long, v long")
+
+
 # cursors, clients
 @query("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation")
 def cursor_fetch(s: Session, spark: SparkSession, sf_dir: str) -> DataFrame:
