@@ -2,6 +2,13 @@
 
 Every stage but the last returns the columns of documents. None collects documents but for the bounded samples that the
 two classifiers are fitted on.
+
+Null and empty texts: not toxic (score 0); in the quality stage they get the probability of a text without words; they are
+no copies of each other; pseudonyms leave them as they are; packed, they are their end token alone. Null ids: such rows
+are kept or rejected by their text, and by the neardup stage only if they repeat a text or are linked to a document with
+an id. Rows that repeat id and text become one in the neardup stage. Nulls in other columns, and further columns, stay.
+Texts are taken whole, whatever their length. Without labels nothing is rejected by the classifiers; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
