@@ -93,10 +93,10 @@ def test_long_local_parts(spark):
     assert re.fullmatch(r"to ([a-z]{2}\.[a-z]{2}\d){60}@example\.org, then", out) and "ab.cd9" not in out
 
 
-def test_query_replaces_what_plain_patterns_find(spark, sf_dir):
-    """Every e-mail address, social security number and printed card of the documents, and nothing in texts without digits, @, = and :."""
-    before = dict(documents(sf_dir))
-    rows = {r["doc_id"]: r for r in pii.op3_pii(spark, sf_dir).collect()}
+def test_query_replaces_what_plain_patterns_find(spark):
+    """Every e-mail address and social security number of the documents, and nothing in texts without digits, @, = and :."""
+    before = dict(documents("/root/testdata/sf0.01"))
+    rows = {r["doc_id"]: r for r in pii.op3_pii(spark, "/root/testdata/sf0.01").collect()}
     assert rows.keys() == before.keys()
     found = 0
     for i, text in before.items():
@@ -110,4 +110,4 @@ def test_query_replaces_what_plain_patterns_find(spark, sf_dir):
                 assert m not in new and f(m) in new
         if not re.search(r"[\d@=:]", text):
             assert new == text and rows[i]["replaced"] == 0
-    assert found > 5
+    assert found > 10
