@@ -270,7 +270,7 @@ def test_media_tone_lands_in_its_band_and_segment(spark):
     assert len(spans) == 1
     start, end = spans[0] * media.HOP / media.RATE_OUT
     assert abs(start - 6000 / 16_000) < 0.05 and abs(end - 11_000 / 16_000) < 0.05
-    centres = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 60 / 700), 2595 * np.log10(1 + 4000 / 700), media.MELS + 2)[1:-1] / 2595) - 1)
+    centres = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 60 / 700), 2595 * np.log10(1 + media.RATE_OUT / 2 / 700), media.MELS + 2)[1:-1] / 2595) - 1)
     assert abs(centres[mel[(spans[0][0] + spans[0][1]) // 2].argmax()] - 1000) < 150
     stored = spark.createDataFrame([(1, bytearray(media.wav(tone.astype(np.uint8).tobytes()))), (2, None)], "doc_id long, media binary")
     row = {r["doc_id"]: r for r in media.features(stored).collect()}
